@@ -163,7 +163,9 @@ def single_accuracy(items: DataFrame, pred: str = "pred", gold: str = "gold") ->
 
 def label_frequency(items: DataFrame, pred: str = "pred") -> DataFrame:
     """How often each label was predicted."""
-    return items.select(F.explode(pred).alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    # The outer form keeps the optimizer from adding a filter on the array, which would score texts twice.
+    labels = items.select(F.explode_outer(pred).alias("label"))
+    return labels.where(F.col("label").isNotNull()).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
 def most_common(frequency: DataFrame, n: int = 5) -> DataFrame:

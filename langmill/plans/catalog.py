@@ -18,7 +18,7 @@ from langmill.operators import (
 )
 from langmill.operators.lexicon import lexicon_scorer
 from langmill.operators.seeds import BCMS_CODES, label_map, tiers as tier_table
-from langmill.session import inline_table, stage, staging_path
+from langmill.session import inline_table, spread, stage, staging_path
 from langmill.sources import readers, writers
 from langmill.streaming import lines as stream_lines
 
@@ -35,8 +35,12 @@ def r6(column: Column | str) -> Column:
     return F.round(column, 6)
 
 
+KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id", "embeddings": "vec_id"}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    rows = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(rows, KEYS[name]) if name in KEYS else rows
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:

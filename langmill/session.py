@@ -57,6 +57,20 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[D
     return (F.broadcast(df) if small else df), small
 
 
+def spread(df: DataFrame, key: str, always: bool = False) -> DataFrame:
+    """Spread rows over the cores when the input has fewer files than cores.
+
+    A file with one row group is one task, however large its texts are. Inputs with many files are
+    left alone: their scan already fills the cluster and a shuffle would only add cost. ``always`` is
+    for operators that need the rows partitioned by ``key`` in any case.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if not always and len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), cores), key)
+
+
 def inline_table(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
     """A constant table built in the JVM from literals; its size is fixed by the source code."""
     fields = [field.strip().split(" ", 1) for field in schema.split(",")]

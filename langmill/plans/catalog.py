@@ -35,12 +35,12 @@ def r6(column: Column | str) -> Column:
     return F.round(column, 6)
 
 
-KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id", "embeddings": "vec_id"}
+KEYS = {"documents": ["doc_id"], "pages": ["page_id"], "conversations": ["conv_id", "turn"], "embeddings": ["vec_id"]}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     rows = spark.read.parquet(f"{folder}/{name}.parquet")
-    return spread(rows, KEYS[name]) if name in KEYS else rows
+    return spread(rows, *KEYS[name]) if name in KEYS else rows
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -172,16 +172,17 @@ def instance_dump(spark, folder):
 
 
 def nested_sections(spark, folder):
-    """One JSON document per conversation, two levels for odd and three for even numbers, read back."""
+    """Each turn as a sectioned JSON document (odd conversations two levels deep, even ones three), read back.
+
+    The instances of a section are the lines of the turn; every document also has a malformed section.
+    """
     raw = table(spark, folder, "conversations")
-    entry = F.struct("text", F.array(F.lit("eng_Latn")).alias("label"))
-    by_turn = raw.groupBy("conv_id", "role").agg(
-        F.map_from_entries(F.collect_list(F.struct(F.col("turn").cast("string"), F.array(entry)))).alias("m")
-    )
-    node = F.when(F.col("conv_id") % 2 == 1, F.to_json("m")).otherwise(F.concat(F.lit('{"part":'), F.to_json("m"), F.lit("}")))
-    pair = F.concat(F.lit('"'), F.col("role"), F.lit('":'), node)
-    whole = by_turn.groupBy("conv_id").agg(F.concat(F.lit('{"bad":1,'), F.array_join(F.collect_list(pair), ","), F.lit("}")).alias("value"))
-    items = readers.sections(whole)
+    instances = F.transform(F.split("text", "\n"), lambda line: F.struct(line.alias("text"), F.array(F.lit("eng_Latn")).alias("label")))
+    by_turn = F.create_map(F.col("turn").cast("string"), instances)
+    flat = F.to_json(F.create_map("role", by_turn))
+    deep = F.to_json(F.create_map("role", F.create_map(F.lit("part"), by_turn)))
+    document = F.concat(F.lit('{"malformed":1,'), F.substr(F.when(F.col("conv_id") % 2 == 1, flat).otherwise(deep), F.lit(2)))
+    items = readers.sections(raw.select(document.alias("value")))
     return items.groupBy("l1", "l2").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("n_chars"), F.sum("pos").cast("bigint").alias("pos_sum"),
         F.sum(F.size("gold")).alias("n_labels"),

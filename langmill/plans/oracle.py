@@ -289,7 +289,8 @@ SELECT section, count(*) AS n_items, round(avg(CASE WHEN {LOOSE} THEN 1.0::DOUBL
   array_to_string(list_sort(list_distinct(flatten(list(gold)))), ',') AS labels FROM names GROUP BY section""",
         "instance_dump": f"WITH {TURNS} SELECT l1, l2, pos, array_to_string(pred, ',') AS pred, array_to_string(gold, ',') AS gold FROM items",
         "nested_sections": """SELECT role AS l1, CASE WHEN conv_id % 2 = 1 THEN turn::VARCHAR ELSE 'part/' || turn END AS l2, count(*) AS n,
-  sum(length(text))::BIGINT AS n_chars, 0::BIGINT AS pos_sum, count(*) AS n_labels FROM conversations GROUP BY 1, 2""",
+  sum(length(line))::BIGINT AS n_chars, sum(pos)::BIGINT AS pos_sum, count(*) AS n_labels
+FROM (SELECT *, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM conversations) GROUP BY 1, 2""",
         "confusion_long": f"WITH {SINGLE} SELECT gold, pred, count(*) AS n FROM single WHERE pred IS NOT NULL GROUP BY gold, pred",
         "single_accuracy": f"WITH {SINGLE} SELECT round(avg(CASE WHEN pred = gold THEN 1.0::DOUBLE ELSE 0 END), 6) AS accuracy FROM single",
         "confusion_multilabel": f"""WITH {DOC_ITEMS},

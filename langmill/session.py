@@ -57,7 +57,7 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[D
     return (F.broadcast(df) if small else df), small
 
 
-def spread(df: DataFrame, key: str, always: bool = False) -> DataFrame:
+def spread(df: DataFrame, *keys: str, always: bool = False) -> DataFrame:
     """Spread rows over the cores when the input has fewer files than cores.
 
     A file with one row group is one task, however large its texts are. Inputs with many files are
@@ -68,7 +68,7 @@ def spread(df: DataFrame, key: str, always: bool = False) -> DataFrame:
     cores = spark.sparkContext.defaultParallelism
     if not always and len(df.inputFiles()) >= cores:
         return df
-    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), cores), key)
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), cores), *keys)
 
 
 def inline_table(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from langmill.functions import draws, scores
+from langmill.session import checkpoint
 
 BLOCK = 512  # classes per block of the pairwise product
 
@@ -45,6 +46,7 @@ def class_similarity(features: DataFrame, fallback: DataFrame | None = None) ->
     ``features`` and ``fallback`` are (label, vector). A null vector means the class is unknown
     to the first source: it takes part as a zero vector, and pairs with such a class use the fallback.
     """
+    features = checkpoint(features)  # one row per class, read by both sides of the product
     width = features.where(F.col("vector").isNotNull()).agg(F.max(F.size("vector")).alias("w")).scalar()
     filled = features.select(
         "label", F.coalesce("vector", F.array_repeat(F.lit(0.0), width.cast("int"))).alias("vector")
@@ -53,7 +55,7 @@ def class_similarity(features: DataFrame, fallback: DataFrame | None = None) ->
     if fallback is None:
         return first
     known = features.select("label", F.col("vector").isNotNull().alias("known"))
-    second = _min_max_rows(pairwise_dot(fallback, "backup"), "backup")
+    second = _min_max_rows(pairwise_dot(checkpoint(fallback), "backup"), "backup")
     a = F.broadcast(known.select(F.col("label").alias("label_a"), F.col("known").alias("_ka")))
     b = F.broadcast(known.select(F.col("label").alias("label_b"), F.col("known").alias("_kb")))
     joined = first.join(second, ["label_a", "label_b"], "left").join(a, "label_a").join(b, "label_b")

@@ -18,7 +18,7 @@ from langmill.operators import (
 )
 from langmill.operators.lexicon import lexicon_scorer
 from langmill.operators.seeds import BCMS_CODES, label_map, tiers as tier_table
-from langmill.session import inline_table, spread, stage, staging_path
+from langmill.session import checkpoint, inline_table, spread, stage, staging_path
 from langmill.sources import readers, writers
 from langmill.streaming import lines as stream_lines
 
@@ -250,7 +250,7 @@ def class_vectors(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "embeddings").select(F.col("label").cast("string").alias("label"), F.posexplode("embedding").alias("dim", "x"))
     means = rows.groupBy("label", "dim").agg(F.avg(F.col("x").cast("double")).alias("x"))
     ordered = F.array_sort(F.collect_list(F.struct("dim", "x")))
-    return means.groupBy("label").agg(F.transform(ordered, lambda e: e["x"]).alias("vector"))
+    return checkpoint(means.groupBy("label").agg(F.transform(ordered, lambda e: e["x"]).alias("vector")))
 
 
 def similarity_logits(vectors: DataFrame, centroids: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ def _alternation(tree: dict) -> str:
 
 
 def rule_pattern(rules: dict[str, str]) -> str:
-    """Pattern over hex digits that cuts a text into rule sources and single bytes."""
+    """Pattern over hex digits that cuts a text into rule sources and the bytes between them."""
     root: dict = {"next": {}, "end": False}
     for source in rules:
         node = root
@@ -35,7 +35,9 @@ def rule_pattern(rules: dict[str, str]) -> str:
             node = node["next"].setdefault(byte, {"next": {}, "end": False})
         node["end"] = True
     alternatives = _alternation(root)
-    return f"({alternatives}|..)" if alternatives else "(..)"
+    # Bytes where no rule starts are cut in runs, so that most of a text is a few long pieces. The bound
+    # keeps the regex engine's stack flat on long texts.
+    return f"({alternatives}|(?:(?!{alternatives})..){{1,64}}+)" if alternatives else "(..)"
 
 
 def rewrite_hex(digits: Column, rules: dict[str, str]) -> Column:

@@ -20,7 +20,7 @@ FUNCTION_WORDS = {
     "fra_Latn": "de la le et les des un une que qui pour dans en",
     "spa_Latn": "de la que el en los se del las por un una",
 }
-SEPARATOR = "[^a-zà-öø-ÿœß]+"
+SEPARATOR = r"[^\p{L}]+"  # anything but letters of any script
 
 
 def _count_in(words: Column, listed: list[str]) -> Column:

@@ -31,11 +31,16 @@ def plan_rows(spark: SparkSession, m: int) -> DataFrame:
 
 
 def _drawn_rows(wanted: DataFrame, corpus: DataFrame, id_col: str, text: str, lang: str, n: int, seed) -> DataFrame:
-    """Attach a random corpus row to each (row_no, part). Ids are matched first, texts travel once."""
+    """Attach a random corpus row to each (row_no, part). Ids are matched first, texts travel once.
+
+    The join with the texts is kept a shuffle join: its partitions are then sized by the texts, which
+    cost the work that follows, and not by the far smaller ids.
+    """
     index = sampling.dense_index(corpus, id_col, seed)
     pick = F.floor(draws.uniform(seed, F.lit("row"), F.col("row_no"), F.col("part")) * F.lit(n)).cast("bigint")
     picked = wanted.withColumn("row_idx", pick).join(index, "row_idx").drop("row_idx")
-    return picked.join(corpus.select(id_col, F.col(text).alias("_text"), F.col(lang).alias("_lang")), id_col)
+    texts = corpus.select(id_col, F.col(text).alias("_text"), F.col(lang).alias("_lang"))
+    return picked.join(texts.hint("merge"), id_col)
 
 
 def fragment(words: Column, seed, *keys: Column) -> Column:

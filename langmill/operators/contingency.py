@@ -77,7 +77,7 @@ def contingency(items: DataFrame, keys: list[str] | None = None, pred: str = "pr
 def over_classes(counts: DataFrame, classes: DataFrame) -> DataFrame:
     """Restrict to, and complete with zeros over, a fixed table of classes (no extra keys)."""
     total = F.max("n_items").over(Window.partitionBy(F.lit(0)))
-    filled = F.broadcast(classes.select("label")).join(counts, "label", "left")
+    filled = classes.select("label").join(counts, "label", "left")
     for name in ("tp", "fp", "fn"):
         filled = filled.withColumn(name, F.coalesce(F.col(name), F.lit(0).cast("bigint")))
     return filled.withColumn("n_items", F.coalesce(total, F.lit(0).cast("bigint"))).withColumn(

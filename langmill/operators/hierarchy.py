@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from langmill.functions import labelsets, ratios
@@ -58,7 +58,7 @@ def section_labels(counts: DataFrame) -> DataFrame:
     return present.groupBy(*SECTION).agg(F.array_sort(F.collect_set("label")).alias("labels"))
 
 
-def section_name() -> "F.Column":
+def section_name() -> Column:
     """Heading of a section in reports."""
     return (
         F.when(F.col("level") == "leaf", F.concat_ws("/", "l1", "l2"))

@@ -56,8 +56,8 @@ def class_similarity(features: DataFrame, fallback: DataFrame | None = None) ->
         return first
     known = features.select("label", F.col("vector").isNotNull().alias("known"))
     second = _min_max_rows(pairwise_dot(checkpoint(fallback), "backup"), "backup")
-    a = F.broadcast(known.select(F.col("label").alias("label_a"), F.col("known").alias("_ka")))
-    b = F.broadcast(known.select(F.col("label").alias("label_b"), F.col("known").alias("_kb")))
+    a = known.select(F.col("label").alias("label_a"), F.col("known").alias("_ka"))
+    b = known.select(F.col("label").alias("label_b"), F.col("known").alias("_kb"))
     joined = first.join(second, ["label_a", "label_b"], "left").join(a, "label_a").join(b, "label_b")
     return joined.select(
         "label_a", "label_b", F.when(F.col("_ka") & F.col("_kb"), F.col("sim")).otherwise(F.col("backup")).alias("sim")

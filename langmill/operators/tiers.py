@@ -1,8 +1,12 @@
-"""Summaries of metric tables by language tier and by number of speakers."""
+"""Summaries of metric tables by language tier and by number of speakers.
+
+All tables here have a row per label or language, so joins are left to the planner, which broadcasts
+by measured size.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from langmill.functions import labelsets
@@ -17,7 +21,7 @@ def with_tier(metrics: DataFrame, tiers: DataFrame, default: int = 1) -> DataFra
     """Tier of each label's language; languages outside the table get ``default``."""
     keyed = metrics.withColumn("iso", labelsets.iso_code(F.col("label")))
     return (
-        keyed.join(F.broadcast(tiers.select("iso", "tier")), "iso", "left")
+        keyed.join(tiers.select("iso", "tier"), "iso", "left")
         .withColumn("tier", F.coalesce("tier", F.lit(default)))
         .drop("iso")
     )
@@ -35,7 +39,7 @@ def speakers_by_entity(languages: DataFrame, counts: DataFrame) -> DataFrame:
     ``languages`` is (iso, entity), ``counts`` is (entity, speakers). Both are bounded by the
     number of languages.
     """
-    known = F.broadcast(counts.select("entity", "speakers"))
+    known = counts.select("entity", "speakers")
     joined = languages.join(known, "entity", "left")
     return joined.select("iso", F.coalesce(F.col("speakers").cast("bigint"), F.lit(0).cast("bigint")).alias("speakers"))
 
@@ -53,8 +57,8 @@ def latest_speakers(reports: DataFrame) -> DataFrame:
 def describe_languages(latest: DataFrame, names: DataFrame, tiers: DataFrame) -> DataFrame:
     """Attach name and tier; an unknown language is ``Unknown`` in tier 0."""
     return (
-        latest.join(F.broadcast(names.select("iso", "name")), "iso", "left")
-        .join(F.broadcast(tiers.select("iso", "tier")), "iso", "left")
+        latest.join(names.select("iso", "name"), "iso", "left")
+        .join(tiers.select("iso", "tier"), "iso", "left")
         .select("iso", F.coalesce("name", F.lit("Unknown")).alias("name"), F.coalesce("tier", F.lit(0)).alias("tier"), "speakers")
     )
 
@@ -73,11 +77,9 @@ def weighted_sum(metrics: DataFrame, weights: DataFrame, keys: list[str] | None
     """
     keys = keys or []
     keyed = without_mean_row(metrics).withColumn("iso", labelsets.iso_code(F.col("label")))
-    joined = keyed.join(F.broadcast(weights.select("iso", "weight")), "iso", "left")
+    joined = keyed.join(weights.select("iso", "weight"), "iso", "left")
     weight = F.coalesce("weight", F.lit(0.0))
     if split_scripts:
-        from pyspark.sql import Window
-
         weight = weight / F.count(F.lit(1)).over(Window.partitionBy(*keys, "metric", "iso"))
     product = joined.withColumn("_w", F.col("score") * weight)
     return product.groupBy(*keys, "metric").agg(F.sum("_w").alias("score"))

@@ -146,15 +146,15 @@ def mix(docs: DataFrame, *, sources: str = "source", weights=(3.0, 1.0, 2.0), sh
         taken[p] = taken.get(p, 0) + amount
     plan = [(list(p), divmod(taken.get(p, 0), n) if n else (0, 0)) for p, n in patterns.items()]
     plan = rows.sparkSession.createDataFrame([(p, int(uses), int(rest)) for p, (uses, rest) in plan], "p array<string>, uses long, rest long")
-    chosen = starts(rows, ["pattern"], "size", seed, ["id", "size"]).join(plan, F.col("pattern") == F.col("p"))
+    chosen = starts(rows, ["pattern"], "size", seed, ["id", "size"]).join(F.broadcast(plan), F.col("pattern") == F.col("p"))  # at most MAX_NODES rows
     once_more = (F.col("start") + F.col("size") / 2 <= F.col("rest")).cast("long")
     chosen = chosen.select(F.col("id").alias(id_col), "pattern", "size", ((F.col("uses") + once_more) * F.col("size")).alias("taken"), ROW)
     return Mix(chosen, flows, {s: (sizes[s], targets[s]) for s in names})
 
 
 def with_sources(result: Mix) -> DataFrame:
-    """Documents of one source each with their source's size and target."""
+    """Documents of one source each with their source's size and target (at most ``MAX_NODES`` sources)."""
     spark = result.docs.sparkSession
     rows = [([s], size, target) for s, (size, target) in result.sources.items()]
     table = spark.createDataFrame(rows, "p array<string>, source_size long, target double")
-    return result.docs.join(table, F.col("pattern") == F.col("p")).drop("p", "pattern", ROW)
+    return result.docs.join(F.broadcast(table), F.col("pattern") == F.col("p")).drop("p", "pattern", ROW)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from langmill.llm import mixing, packing, quality
+from langmill.llm import mixing, packing, pii, quality
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -22,10 +22,15 @@ def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.with_sources(mixing.mix(table(spark, folder, "documents")))
 
 
+def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents with surrogates in place of personal data."""
+    return pii.surrogates(table(spark, folder, "documents"))[0].select("doc_id", "text", "n_entities")
+
+
 def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 1024 ids."""
     return packing.pack(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op8_packing, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op6_pii, op8_packing, op10_quality_rules)}
 ORACLES: dict[str, str] = {}

@@ -64,7 +64,7 @@ def starts(df: DataFrame, group: list[str], size: str, seed: str, order: list[st
     Rows are dealt to slices by hash, so the largest group is summed by many tasks: only the sums of the
     slices are put in order. ``df`` should be staged; it is counted and read twice.
     """
-    slices = max(16, df.count() // 20_000)
+    slices = max(64, df.count() // 10_000)
     rows = df.withColumn("_draw", F.xxhash64(F.lit(seed), *order)).withColumn("_slice", F.pmod("_draw", F.lit(slices)))
     sums = rows.groupBy(*group, "_slice").agg(F.sum(size).alias("_sum"))
     whole = Window.partitionBy(*group)

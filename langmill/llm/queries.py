@@ -3,14 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from langmill.llm import mixing, packing, pii, quality
+from langmill.llm import edits, mixing, packing, pii, quality, template
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Token counts of every document before and after three edits drawn by hash."""
+    docs = table(spark, folder, "documents")
+    docs = docs.select("doc_id", "text", edits.drawn_edits(F.col("text"), F.col("doc_id")).alias("edits"))
+    return edits.counts(edits.trees(docs, edits_col="edits"))
+
+
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Base statistics and likelihood-ratio verdict of every document."""
     docs = table(spark, folder, "documents")
@@ -22,6 +30,11 @@ def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.with_sources(mixing.mix(table(spark, folder, "documents")))
 
 
+def op5_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    return template.main_text(table(spark, folder, "pages"))
+
+
 def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
     """All documents with surrogates in place of personal data."""
     return pii.surrogates(table(spark, folder, "documents"))[0].select("doc_id", "text", "n_entities")
@@ -32,5 +45,5 @@ def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op6_pii, op8_packing, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op5_html_extraction, op6_pii, op8_packing, op9_token_counts, op10_quality_rules)}
 ORACLES: dict[str, str] = {}

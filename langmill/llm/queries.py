@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from langmill.llm import edits, mixing, packing, pii, quality, template
+from langmill.llm import edits, jaccard, mixing, packing, pii, quality, template
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -30,6 +30,12 @@ def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.with_sources(mixing.mix(table(spark, folder, "documents")))
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Number of 3-word shingles and component of every document, at a Jaccard similarity of 0.9."""
+    found = jaccard.near_duplicates(table(spark, folder, "documents"), words=3, percent=90)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op5_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     """Main text of every page."""
     return template.main_text(table(spark, folder, "pages"))
@@ -45,5 +51,5 @@ def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op5_html_extraction, op6_pii, op8_packing, op9_token_counts, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op3_ngram_jaccard_join, op5_html_extraction, op6_pii, op8_packing, op9_token_counts, op10_quality_rules)}
 ORACLES: dict[str, str] = {}

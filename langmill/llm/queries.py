@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from langmill.llm import edits, jaccard, mixing, packing, pii, quality, template
+from langmill.llm import edits, jaccard, mixing, packing, pii, quality, recompress, template
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -46,10 +46,15 @@ def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.surrogates(table(spark, folder, "documents"))[0].select("doc_id", "text", "n_entities")
 
 
+def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every document left when repeated windows of 20 words are removed."""
+    return recompress.remove_repeats(table(spark, folder, "documents")).drop("kept")
+
+
 def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 1024 ids."""
     return packing.pack(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_ngram_jaccard_join, op5_html_extraction, op6_pii, op8_packing, op9_token_counts, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op3_ngram_jaccard_join, op5_html_extraction, op6_pii, op7_substring_dedup, op8_packing, op9_token_counts, op10_quality_rules)}
 ORACLES: dict[str, str] = {}

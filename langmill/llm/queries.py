@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from langmill.llm import edits, jaccard, mixing, packing, pii, quality, recompress, template
+from langmill.llm import edits, jaccard, mixing, packing, pii, quality, recompress, suffixes, template
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -36,6 +36,11 @@ def op3_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+def op4_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes of every document left when repeated strings of 400 bytes are removed."""
+    return suffixes.remove_repeats(table(spark, folder, "documents")).drop("kept")
+
+
 def op5_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     """Main text of every page."""
     return template.main_text(table(spark, folder, "pages"))
@@ -56,5 +61,5 @@ def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_ngram_jaccard_join, op5_html_extraction, op6_pii, op7_substring_dedup, op8_packing, op9_token_counts, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op3_ngram_jaccard_join, op4_suffix_array_dedup, op5_html_extraction, op6_pii, op7_substring_dedup, op8_packing, op9_token_counts, op10_quality_rules)}
 ORACLES: dict[str, str] = {}

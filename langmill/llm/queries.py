@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from langmill.llm import edits, jaccard, mixing, packing, pii, quality, recompress, suffixes, template
+from langmill.llm import edits, jaccard, mixing, neighbours, packing, pii, quality, recompress, suffixes, template
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -25,6 +25,11 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, folder, "labels")))
 
 
+def op1_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest vectors of every 20th one by largest inner product."""
+    return neighbours.nearest(table(spark, folder, "embeddings"))
+
+
 def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """Words taken from every document by the mix."""
     return mixing.with_sources(mixing.mix(table(spark, folder, "documents")))
@@ -61,5 +66,11 @@ def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_ngram_jaccard_join, op4_suffix_array_dedup, op5_html_extraction, op6_pii, op7_substring_dedup, op8_packing, op9_token_counts, op10_quality_rules)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_nearest_neighbours, op2_mixing, op3_ngram_jaccard_join, op4_suffix_array_dedup, op5_html_extraction, op6_pii,
+        op7_substring_dedup, op8_packing, op9_token_counts, op10_quality_rules,
+    )
+}
 ORACLES: dict[str, str] = {}

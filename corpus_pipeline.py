@@ -1,28 +1,63 @@
-"""The corpus pipeline: quality rules, near-duplicate join, PII, mixing, packing."""
+"""The corpus pipeline: quality rules, near-duplicate join, personal data, mixing, packing.
+
+Every stage takes all rows its predecessor kept, written as Parquet and read again. Rows are told apart by
+position, so null and repeated ids are rows of their own in every stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from langmill.llm import quality
-from langmill.llm.table import staged
-
-DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
+from langmill.llm import jaccard, mixing, packing, pii, quality
+from langmill.llm.table import ROW, keyed, staged
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
-    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.keep(docs, model)
+    """Documents that the base rules or the likelihood ratio reject go."""
+    return quality.keep(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates (5 words, 0.8) the document with the smallest id stays."""
+    rows = keyed(docs, "pipeline")
+    found = jaccard.near_duplicates(rows, id_col=ROW).select(ROW, "component_id")
+    first = found.join(rows.select(ROW, "doc_id"), ROW).groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW)).alias("first"))
+    return rows.join(first.select(f"first.{ROW}"), ROW, "left_semi").drop(ROW)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data gives way to surrogates; n_chars follows the text."""
+    return pii.surrogates(docs)[0].withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents come as often as the mix takes them: not at all, once or twice."""
+    rows = keyed(docs, "pipeline")
+    taken = mixing.mix(rows.withColumnRenamed(ROW, "key"), id_col="key").docs
+    uses = taken.where("taken > 0").select(F.col("key").alias(ROW), (F.col("taken") / F.col("size")).cast("int").alias("uses"))
+    return rows.join(uses, ROW).withColumn("uses", F.explode(F.sequence(F.lit(1), "uses"))).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of 1024 ids."""
+    return packing.pack(docs)
 
 
-STAGES = [("quality_rules", quality_rules)]
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("ngram_jaccard_join", jaccard_join),
+    ("pii", personal_data),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+#: The likelihood ratio, the tokenizer and the surrogates are beyond SQL; tests compare with a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), name)
+        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs

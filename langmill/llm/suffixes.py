@@ -240,8 +240,8 @@ _CUT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept bin
 def _splits(rows: DataFrame, ranges: int) -> list[bytes]:
     """Borders of ``ranges`` key ranges from a bounded sample of places in the texts; they decide the balance only."""
     place = F.floor(draw("suffix-place", ROW) * F.length("text")).cast("int") + 1
-    sample = rows.where(F.length("text") > 0).orderBy(draw("suffix-sample", ROW), ROW).limit(SAMPLE)
-    keys = sorted(bytes(r[0].encode()) for r in sample.select(F.substring("text", place, F.lit(64))).collect())
+    cuts = rows.where(F.length("text") > 0).select(draw("suffix-sample", ROW).alias("draw"), ROW, F.substring("text", place, F.lit(64)).alias("cut"))
+    keys = sorted(r["cut"].encode() for r in cuts.orderBy("draw", ROW).limit(SAMPLE).collect())
     return sorted({keys[i * len(keys) // ranges] for i in range(1, ranges)}) if keys else []
 
 

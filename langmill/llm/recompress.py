@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from langmill.llm import spans
-from langmill.llm.table import ROW, keyed, pick, staged
+from langmill.llm.table import ROW, bucketed, pick, staged
 
 ROUNDS = 13
 _U = np.uint64
@@ -129,7 +129,7 @@ def remove_repeats(docs: DataFrame, *, width: int = 20, id_col: str = "doc_id",
     """
     if width < 20:
         raise ValueError("windows shorter than 20 words have no boundary that is theirs alone")
-    rows = keyed(pick(docs, id=id_col, text=text_col), "recompress")
+    rows = bucketed(pick(docs, id=id_col, text=text_col), "recompress")
 
     def find_spans(batches):
         for batch in batches:
@@ -140,11 +140,11 @@ def remove_repeats(docs: DataFrame, *, width: int = 20, id_col: str = "doc_id",
                 long = to - from_ >= width
                 from_, to, name, row = from_[long], to[long], name[long], row[long]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").take(pa.array(a + row)), batch.column(ROW).take(pa.array(a + row)), pa.array(from_ - block.cut[row]),
-                     pa.array(to - block.cut[row]), pa.array(name.astype(np.int64))], ["id", ROW, "from", "to", "name"])
+                    [batch.column("id").take(pa.array(a + row)), batch.column(ROW).take(pa.array(a + row)), pa.array((from_ - block.cut[row]).astype(np.int32)),
+                     pa.array((to - block.cut[row]).astype(np.int32)), pa.array(name.astype(np.int64))], ["id", ROW, "from", "to", "name"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    long = staged(rows.mapInArrow(find_spans, f"id {kind}, {ROW} long, from long, to long, name long"), "recompress-spans")
+    long = staged(rows.mapInArrow(find_spans, f"id {kind}, {ROW} long, from int, to int, name long"), "recompress-spans")
     place = F.struct("id", ROW, "from")
     earliest = long.groupBy("name").agg(F.min(place).alias("place"), F.count("*").alias("times")).where("times > 1").drop("times")
     again = long.join(earliest, "name").where(place != F.col("place"))
@@ -161,9 +161,9 @@ def remove_repeats(docs: DataFrame, *, width: int = 20, id_col: str = "doc_id",
                 at = np.unique(place[open_[first]])
                 row = block.row[at] if len(at) else at
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(ROW).take(pa.array(a + row)), pa.array(at - block.cut[row]), pa.array(print_[at].astype(np.int64))], [ROW, "at", "print"])
+                    [batch.column(ROW).take(pa.array(a + row)), pa.array((at - block.cut[row]).astype(np.int32)), pa.array(print_[at].astype(np.int64))], [ROW, "at", "print"])
 
-    anchors = staged(left.select(ROW, "text", "spans").mapInArrow(find_anchors, f"{ROW} long, at long, print long"), "recompress-anchors")
+    anchors = staged(left.select(ROW, "text", "spans").mapInArrow(find_anchors, f"{ROW} long, at int, print long"), "recompress-anchors")
     repeated = anchors.groupBy("print").count().where("count > 1").select("print")
     marked = anchors.join(repeated, "print").groupBy(ROW).agg(F.collect_list("at").alias("anchors"))
 
@@ -180,11 +180,11 @@ def remove_repeats(docs: DataFrame, *, width: int = 20, id_col: str = "doc_id",
                 row = block.row[first]
                 one, two = block.windows(first, width)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").take(pa.array(a + row)), batch.column(ROW).take(pa.array(a + row)), pa.array(first - block.cut[row]), pa.array(one), pa.array(two)],
+                    [batch.column("id").take(pa.array(a + row)), batch.column(ROW).take(pa.array(a + row)), pa.array((first - block.cut[row]).astype(np.int32)), pa.array(one), pa.array(two)],
                     ["id", ROW, "from", "one", "two"])
 
     windows = left.join(marked, ROW).select("id", ROW, "text", "spans", "anchors")
-    windows = staged(windows.mapInArrow(find_windows, f"id {kind}, {ROW} long, from long, one long, two long"), "recompress-windows")
+    windows = staged(windows.mapInArrow(find_windows, f"id {kind}, {ROW} long, from int, one long, two long"), "recompress-windows")
     earliest = windows.groupBy("one", "two").agg(F.min(place).alias("place"), F.count("*").alias("times")).where("times > 1").drop("times")
     short = windows.join(earliest, ["one", "two"]).where(place != F.col("place"))
     short = short.groupBy(ROW).agg(F.collect_list("from").alias("windows"))

@@ -35,6 +35,16 @@ def keyed(df: DataFrame, name: str) -> DataFrame:
     return staged(df.withColumn(ROW, F.monotonically_increasing_id()), f"{name}-rows")
 
 
+def bucketed(df: DataFrame, name: str) -> DataFrame:
+    """Like ``keyed``, and dealt to buckets by the row key, so that joins on it move only the other side."""
+    n = tasks(df)
+    rows = df.withColumn(ROW, F.monotonically_increasing_id()).repartition(n, ROW)
+    table = fresh(f"langmill_{name}")
+    writer = rows.write.bucketBy(n, ROW).sortBy(ROW).option("compression", "zstd").format("parquet")
+    writer.option("path", staging_path(df.sparkSession, f"{name}-buckets")).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def tasks(df: DataFrame) -> int:
     """Shuffle partitions of the session, at least one for each core."""
     spark = df.sparkSession

@@ -5,9 +5,10 @@ inverted index: documents that reach the required overlap T meet in at least ``H
 all other lists together, the long ones, are ``T - HITS`` short of it. Short lists are merged by the
 shuffle; the long ones are never read: a candidate's shingles are probed by binary search instead.
 
-Lists of large groups are not turned into pairs. Every member of a list is first compared with the list's
-leader; only members that are still in different components, and that the triangle inequality of
-Jaccard's distance does not keep apart, are then paired. Links are lost in neither step.
+Lists of large groups are not turned into pairs. In a few turns, every member of a list is compared with
+the list's leader of the turn; only members that are then still in different components, and that the
+triangle inequality of Jaccard's distance to the leaders does not keep apart, are paired. No step loses a
+link between components.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ HITS = 2
 #: Counters of the frequency sketch; it decides the order of shingles, never the result.
 BUCKETS = 1 << 18
 _PART = 1 << 12
+#: Turns in which lists choose new leaders; what they leave apart is paired, so it decides only the cost.
+MOST_TURNS = 3
 
 
 def shingle_sets(texts: pa.Array, words: int):
@@ -156,28 +159,43 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
 
 def _links(rows: DataFrame, indexed: DataFrame, words: int, percent: int) -> DataFrame:
     limit = 1 - percent / 100 + 1e-9
+    linked = F.expr(f"100 * same >= {percent} * total")
     nodes = indexed.where(F.size("short") > 0).groupBy("node").agg(F.first("n").alias("n"), F.first("short").alias("short"))
-    lists = nodes.select("node", "n", F.explode("short").alias("shingle"))
-    lists = staged(lists, "jaccard-lists")
-    leaders = lists.groupBy("shingle").agg(F.min(F.struct("node", "n")).alias("leader"), F.count("*").alias("members")).where("members > 1")
-    lists = lists.join(leaders, "shingle").select("shingle", "node", "n", F.col("leader.node").alias("leader"), F.col("leader.n").alias("leader_n"))
-    lists = staged(lists, "jaccard-shared")  # lists of at least two sets
-    pairs = lists.where("node != leader").where(_compatible("n", "leader_n", percent)).select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+    nodes = staged(nodes, "jaccard-nodes")
+    sizes = nodes.select("node", "n")
+    lists = nodes.select("node", F.explode("short").alias("shingle"))
+    shared = lists.groupBy("shingle").agg(F.count("*").alias("members")).where("members > 1").select("shingle")
+    lists = staged(lists.join(shared, "shingle").join(sizes, "node"), "jaccard-shared")
     texts = _texts(rows, lists.select("node").distinct(), words)
-    checked = _verified(pairs, texts, words)
-    linked = F.expr(f"100 * same >= {percent} * total")
-    links = checked.where(linked).select("a", "b")
-    # members of a list that are still apart
-    roots = components(links)
-    apart = lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = apart.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("shingle")
-    away = checked.select(F.col("a").alias("node"), F.col("b").alias("leader"), (1 - F.col("same") / F.col("total")).alias("away"))
-    apart = apart.join(mixed, "shingle").join(away, ["node", "leader"], "left")
-    apart = staged(apart.where("node != leader").select("shingle", "node", "n", "root", "away"), "jaccard-apart")
-    one, two = (apart.toDF("shingle", *[f"{c}_{x}" for c in ("node", "n", "root", "away")]) for x in "ab")
-    near = F.coalesce(F.abs(F.col("away_a") - F.col("away_b")) <= limit, F.lit(True))
+    links = checked = None
+    for turn in range(MOST_TURNS):
+        # every member of a list that is still apart meets the list's leader of this turn
+        order = F.struct(F.xxhash64("node", F.lit(turn)), "node", "n")
+        leaders = lists.groupBy("shingle").agg(F.min(order).alias("leader")).select("shingle", F.col("leader.node").alias("b"), F.col("leader.n").alias("n_b"))
+        pairs = lists.join(leaders, "shingle").where("node != b").where(_compatible("n", "n_b", percent)).select(F.col("node").alias("a"), "b").distinct()
+        if checked is not None:
+            pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
+        found = _verified(pairs, texts, words)
+        new = found.where(linked).select("a", "b")
+        checked = found if checked is None else staged(checked.union(found), "jaccard-checked")
+        links = new if links is None else links.union(new)
+        roots = components(links)
+        apart = lists.select("shingle", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        mixed = apart.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("shingle")
+        lists = staged(apart.join(mixed, "shingle"), "jaccard-apart")
+        if not new.head(1) or not lists.head(1):
+            break
+    # members that no leader has joined: pairs of different components that no leader keeps apart
+    away = checked.select(F.col("a").alias("node"), F.col("b").alias("pivot"), (1 - F.col("same") / F.col("total")).alias("away"))
+    pivots = away.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("pivot", "away"))).alias("away"))  # at most a leader for each list and turn
+    lists = staged(lists.join(pivots, "node", "left"), "jaccard-left")
+    one, two = (lists.toDF(*[c if c == "shingle" else f"{c}_{x}" for c in lists.columns]) for x in "ab")
+    near = F.forall(F.map_keys(F.coalesce("away_a", F.create_map().cast("map<bigint,double>"))),
+                    lambda k: F.coalesce(F.abs(F.col("away_a")[k] - F.col("away_b")[k]) <= limit, F.lit(True)))
     far = (one.join(two, "shingle").where("root_a < root_b").where(_compatible("n_a", "n_b", percent)).where(near)
            .groupBy("node_a", "node_b").count().where(F.col("count") >= HITS).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
+    known = checked.select("a", "b")
+    far = far.join(known.union(known.select("b", "a")), ["a", "b"], "left_anti")
     return links.union(_verified(far, texts, words).where(linked).select("a", "b"))
 
 

@@ -16,13 +16,16 @@ BROADCAST_ROWS = 1_000_000
 def shared_dir(spark: SparkSession) -> str:
     """Folder for checkpoints and staged tables that every executor can reach.
 
-    A cluster names it in ``spark.checkpoint.dir``; only a session without the setting
-    (a local test) gets a fresh temporary folder.
+    A cluster names it in ``spark.checkpoint.dir``; only a session of one machine gets a fresh
+    temporary folder without the setting, any other raises an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
+    master = spark.sparkContext.master
+    if current is None and master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if current is None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="run-", dir="/tmp"))
         current = spark.sparkContext.getCheckpointDir()

@@ -34,7 +34,7 @@ def parallel_corpus(wide: DataFrame, known_languages: list[str] | None = None, p
     if known_languages:
         columns = [c for c in columns if c[len(prefix):] in known_languages]
     long = wide.select(*columns).unpivot([], columns, "_column", "text")
-    return long.select(F.substring("_column", len(prefix) + 1, 1000).alias("lang"), "text")
+    return long.select(F.substring(F.col("_column"), F.lit(len(prefix) + 1), F.length("_column")).alias("lang"), "text")
 
 
 def slide_items(spark: SparkSession, path: str, codes: dict[str, str] = seeds.SLIDE_CODES) -> DataFrame:

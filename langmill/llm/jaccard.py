@@ -5,16 +5,15 @@ inverted index: documents that reach the required overlap T meet in at least ``H
 all other lists together, the long ones, are ``T - HITS`` short of it. Short lists are merged by the
 shuffle; the long ones are never read: a candidate's shingles are probed by binary search instead.
 
-Lists of large groups are not turned into pairs. In a few turns, every member of a list is compared with
-the list's leader of the turn; only members that are then still in different components, and that the
-triangle inequality of Jaccard's distance to the leaders does not keep apart, are paired. No step loses a
-link between components.
+Candidates carry parities: one bit for each hash bucket of shingles, telling whether the bucket holds an odd
+number. Two sets differ in at least as many shingles as their parities differ in bits, so a pair whose
+parities differ too much needs no probe. Lists of large groups are not turned into pairs. In a few turns,
+every member of a list is compared with one of its lists' leaders of the turn; only members that are then
+still in different components are paired. No step loses a link between components.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,6 +29,8 @@ BUCKETS = 1 << 18
 _PART = 1 << 12
 #: Turns in which lists choose new leaders; what they leave apart is paired, so it decides only the cost.
 MOST_TURNS = 3
+#: Words of 64 parity bits that a set carries.
+_PARITIES = [f"parity{i}" for i in range(4)]
 
 
 def shingle_sets(texts: pa.Array, words: int):
@@ -64,6 +65,15 @@ def _names(gram: np.ndarray, cut: np.ndarray) -> np.ndarray:
     return np.where(cut[1:] > cut[:-1], name, 0).astype(np.int64)
 
 
+def _parities(gram: np.ndarray, owner: np.ndarray, n: int) -> list[pa.Array]:
+    """One bit for each bucket of a row's shingles, set if the bucket holds an odd number of them."""
+    width = 64 * len(_PARITIES)
+    bucket = (spans.mix(gram, 21) >> np.uint64(32)) % np.uint64(width)
+    odd = (np.bincount(owner * width + bucket.astype(np.int64), minlength=n * width) & 1).astype(np.uint8)
+    packed = np.packbits(odd.reshape(n, width), axis=1).view(np.int64)
+    return [pa.array(np.ascontiguousarray(packed[:, i])) for i in range(len(_PARITIES))]
+
+
 def _sketch(rows: DataFrame, words: int) -> np.ndarray:
     """Occurrences by hash bucket of all shingles of all documents."""
     def count(batches):
@@ -87,7 +97,7 @@ def _sketch(rows: DataFrame, words: int) -> np.ndarray:
 
 
 def index(rows: DataFrame, words: int, percent: int) -> DataFrame:
-    """Staged ``id, node, n, short`` of every row: name and size of its set, and its rarest shingles."""
+    """Staged ``id, node, n, short`` and parities of every row: name and size of its set, and its rarest shingles."""
     rank = np.floor(2 * np.log2(_sketch(rows, words) + 1)).astype(np.uint8)
     rank = rows.sparkSession.sparkContext.broadcast(rank)
 
@@ -103,16 +113,23 @@ def index(rows: DataFrame, words: int, percent: int) -> DataFrame:
                 short = gram[order][place < np.repeat(taken, n)].astype(np.int64)
                 lists = spans.lists(short, np.concatenate(([0], np.cumsum(taken))), pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(a, b - a), pa.array(_names(gram, cut)), pa.array(n), lists], ["id", "node", "n", "short"])
+                    [batch.column("id").slice(a, b - a), pa.array(_names(gram, cut)), pa.array(n), lists, *_parities(gram, owner, b - a)],
+                    ["id", "node", "n", "short", *_PARITIES])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return staged(rows.mapInArrow(build, f"id {kind}, node long, n long, short array<long>"), "jaccard-index")
+    return staged(rows.mapInArrow(build, f"id {kind}, node long, n long, short array<long>, " + ", ".join(f"{c} long" for c in _PARITIES)), "jaccard-index")
 
 
 def _compatible(a: str, b: str, percent: int):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def _alike(a: str, b: str, percent: int):
+    """False only for sets whose parities differ in more bits than linked sets of their sizes can."""
+    apart = sum((F.bit_count(F.col(f"{c}_{a}").bitwiseXOR(F.col(f"{c}_{b}"))) for c in _PARITIES), F.lit(0))
+    return (100 + percent) * apart <= (100 - percent) * (F.col(f"n_{a}") + F.col(f"n_{b}"))
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     """Staged ``a, b, same, total``: sizes of intersection and union of the sets of distinct pairs."""
     texts = texts.select("node", "text")
@@ -158,26 +175,29 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
 
 
 def _links(rows: DataFrame, indexed: DataFrame, words: int, percent: int) -> DataFrame:
-    limit = 1 - percent / 100 + 1e-9
     linked = F.expr(f"100 * same >= {percent} * total")
-    nodes = indexed.where(F.size("short") > 0).groupBy("node").agg(F.first("n").alias("n"), F.first("short").alias("short"))
+    carried = ["n", *_PARITIES]
+    nodes = indexed.where(F.size("short") > 0).groupBy("node").agg(*[F.first(c).alias(c) for c in ("short", *carried)])
     nodes = staged(nodes, "jaccard-nodes")
-    sizes = nodes.select("node", "n")
     lists = nodes.select("node", F.explode("short").alias("shingle"))
     shared = lists.groupBy("shingle").agg(F.count("*").alias("members")).where("members > 1").select("shingle")
-    lists = staged(lists.join(shared, "shingle").join(sizes, "node"), "jaccard-shared")
+    lists = staged(lists.join(shared, "shingle").join(nodes.select("node", "n"), "node"), "jaccard-shared")
     texts = _texts(rows, lists.select("node").distinct(), words)
+    sets = nodes.select("node", *carried)
+    one, two = (sets.toDF(x, *[f"{c}_{x}" for c in carried]) for x in "ab")
     links = checked = None
     for turn in range(MOST_TURNS):
-        # every member of a list that is still apart meets the list's leader of this turn
+        # every member that is still apart meets one leader of its lists, the same for all lists where it can be
         order = F.struct(F.xxhash64("node", F.lit(turn)), "node", "n")
         leaders = lists.groupBy("shingle").agg(F.min(order).alias("leader")).select("shingle", F.col("leader.node").alias("b"), F.col("leader.n").alias("n_b"))
         pairs = lists.join(leaders, "shingle").where("node != b").where(_compatible("n", "n_b", percent)).select(F.col("node").alias("a"), "b").distinct()
+        pairs = pairs.join(one, "a").join(two, "b").where(_alike("a", "b", percent)).select("a", "b")
         if checked is not None:
-            pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
+            pairs = pairs.join(checked, ["a", "b"], "left_anti")
+        pairs = pairs.groupBy("a").agg(F.min(F.struct(F.xxhash64("b", F.lit(turn)), "b")).alias("leader")).select("a", F.col("leader.b").alias("b"))
         found = _verified(pairs, texts, words)
         new = found.where(linked).select("a", "b")
-        checked = found if checked is None else staged(checked.union(found), "jaccard-checked")
+        checked = found.select("a", "b") if checked is None else checked.union(found.select("a", "b"))
         links = new if links is None else links.union(new)
         roots = components(links)
         apart = lists.select("shingle", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -185,17 +205,12 @@ def _links(rows: DataFrame, indexed: DataFrame, words: int, percent: int) -> Dat
         lists = staged(apart.join(mixed, "shingle"), "jaccard-apart")
         if not new.head(1) or not lists.head(1):
             break
-    # members that no leader has joined: pairs of different components that no leader keeps apart
-    away = checked.select(F.col("a").alias("node"), F.col("b").alias("pivot"), (1 - F.col("same") / F.col("total")).alias("away"))
-    pivots = away.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("pivot", "away"))).alias("away"))  # at most a leader for each list and turn
-    lists = staged(lists.join(pivots, "node", "left"), "jaccard-left")
+    # members that no leader has joined: pairs of different components that their parities do not keep apart
+    lists = staged(lists.join(nodes.select("node", *_PARITIES), "node"), "jaccard-left")
     one, two = (lists.toDF(*[c if c == "shingle" else f"{c}_{x}" for c in lists.columns]) for x in "ab")
-    near = F.forall(F.map_keys(F.coalesce("away_a", F.create_map().cast("map<bigint,double>"))),
-                    lambda k: F.coalesce(F.abs(F.col("away_a")[k] - F.col("away_b")[k]) <= limit, F.lit(True)))
-    far = (one.join(two, "shingle").where("root_a < root_b").where(_compatible("n_a", "n_b", percent)).where(near)
+    far = (one.join(two, "shingle").where("root_a < root_b").where(_compatible("n_a", "n_b", percent)).where(_alike("a", "b", percent))
            .groupBy("node_a", "node_b").count().where(F.col("count") >= HITS).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
-    known = checked.select("a", "b")
-    far = far.join(known.union(known.select("b", "a")), ["a", "b"], "left_anti")
+    far = far.join(checked.union(checked.select("b", "a")), ["a", "b"], "left_anti")
     return links.union(_verified(far, texts, words).where(linked).select("a", "b"))
 
 

@@ -44,6 +44,8 @@ def predict(df: DataFrame, scorer: Scorer, threshold: float | None = 0.5, inclus
     Multilabel keeps the labels beyond the threshold, single-label keeps the best one. A failed
     scoring becomes the empty set, or the fixed default label.
     """
+    if multilabel and threshold is None:
+        raise ValueError("a multilabel prediction needs a threshold")
     scored = scorer(df).withColumn("failed", F.col("scores").isNull())
     filled = score_fn.with_fallback(F.col("scores"), multilabel)
     if multilabel:

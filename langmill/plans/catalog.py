@@ -132,19 +132,20 @@ def membership_accuracy(spark, folder):
 def turns(spark: SparkSession, folder: str) -> DataFrame:
     """Conversation turns as a sectioned set (l1 = role, l2 = turn).
 
-    The gold set of a turn is what the first turn of its conversation scores at least one half in.
+    The gold set of a turn is what the first turn of its conversation scores at least one half in: empty
+    without a first turn, the set that sorts first if there are several.
     """
     raw = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     scored = lexicon_scorer()(raw).drop("text")
-    first = scored.where(F.col("turn") == 0).select(
-        "conv_id", score_fn.labels(score_fn.at_least(F.col("scores"), 0.5)).alias("gold")
+    first = scored.where(F.col("turn") == 0).groupBy("conv_id").agg(
+        F.min(score_fn.labels(score_fn.at_least(F.col("scores"), 0.5))).alias("gold")
     )
     kept = score_fn.by_confidence(score_fn.above(F.col("scores"), THRESHOLD))
     items = scored.select(
         "conv_id", F.col("role").alias("l1"), F.col("turn").cast("string").alias("l2"), F.col("conv_id").alias("pos"),
         score_fn.labels(kept).alias("pred"),
     )
-    return items.join(first, "conv_id")
+    return items.join(first, "conv_id", "left").withColumn("gold", F.coalesce("gold", F.array().cast("array<string>")))
 
 
 def hierarchy_rollup(spark, folder):
@@ -198,7 +199,8 @@ def single_accuracy(spark, folder):
 
 
 def confusion_multilabel(spark, folder):
-    return confusion.wide(confusion.confusion_of_sets(set_predictions(spark, folder)), LABELS)
+    """Square matrix over the seen labels and one that never occurs."""
+    return confusion.wide(confusion.confusion_of_sets(set_predictions(spark, folder)), [*LABELS, "rus_Cyrl"])
 
 
 def classification_report(spark, folder):
@@ -237,12 +239,14 @@ def masked_bce(spark, folder):
     logits = similarity_logits(vectors, centroids)
     items = logits.withColumn("gold", F.array("label"))
     sims = similarity.class_similarity(centroids)
-    sampled = similarity.negative_samples(items, sims, CLASS_IDS, "vec_id", SEED)
+    sampled = similarity.negative_samples(items, sims, class_ids(centroids), "vec_id", SEED)
     loss = similarity.masked_loss(sampled)
     return loss.select("n_terms", F.round("loss", 5).alias("loss"))
 
 
-CLASS_IDS = [str(i) for i in range(10)]  # the ten labels of the vector table
+def class_ids(centroids: DataFrame) -> list[str]:
+    """The labels of the vector table in order, one row per class."""
+    return [row["label"] for row in label_ops.fit_classes(centroids).orderBy("class_idx").collect()]
 
 
 def class_vectors(spark: SparkSession, folder: str) -> DataFrame:
@@ -301,13 +305,17 @@ def speaker_weighted(spark, folder):
 
 
 def latest_speakers(spark, folder):
-    """Documents as reports: the newest (by source name) report per language, the first of equals."""
+    """Documents as reports: the newest (by source name) report per language, the first of equals.
+
+    The languages are of tiers 4, 5 and 1; the fourth is left out of the tier table.
+    """
+    labels = {code: TIER_LABELS[label] for code, label in LANGUAGES.items()}
     reports = table(spark, folder, "documents").select(
-        F.col("doc_id").alias("seq"), labelsets.iso_code(labelsets.literal_map(LANGUAGES)[F.col("lang")]).alias("iso"),
+        F.col("doc_id").alias("seq"), labelsets.iso_code(labelsets.literal_map(labels)[F.col("lang")]).alias("iso"),
         F.col("n_chars").alias("speakers"), F.col("source").alias("point"),
     )
-    names = inline_table(spark, "iso string, name string", [("eng", "English"), ("fra", "French")])
-    known = tier_table(spark).where(F.col("iso") != "spa")
+    names = inline_table(spark, "iso string, name string", [("eng", "English"), ("kin", "Kinyarwanda")])
+    known = tier_table(spark).where(F.col("iso") != "glg")
     rows = tier_ops.describe_languages(tier_ops.latest_speakers(reports), names, known)
     return rows.select("iso", "name", F.col("tier").cast("bigint").alias("tier"), "speakers")
 
@@ -451,13 +459,14 @@ def negative_samples(spark, folder):
     """Negatives for texts whose gold set has no, one or two of the ten classes."""
     classes = labelsets.literal_map({label: str(i) for i, label in enumerate(LABELS)})
     items = judged(spark, folder).select("doc_id", F.transform("gold", lambda g: classes[g]).alias("gold"))
-    sims = similarity.class_similarity(class_vectors(spark, folder))
-    rows = similarity.negative_samples(items, sims, CLASS_IDS, "doc_id", SEED, ratio=2.0)
+    centroids = class_vectors(spark, folder)
+    sims = similarity.class_similarity(centroids)
+    rows = similarity.negative_samples(items, sims, class_ids(centroids), "doc_id", SEED, ratio=2.0)
     return rows.select("doc_id", F.array_join(F.array_sort("negatives"), ",").alias("negatives"))
 
 
 def ovr_scores(spark, folder):
-    """Multiclass model: fitted on the training part, accuracy and support per class on the held-out part."""
+    """Multiclass model: fitted on the training part, prediction and confidence for each held-out text."""
     return _fitted(spark, folder, multilabel=False)
 
 

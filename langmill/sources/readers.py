@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from langmill.functions import labelsets, text as text_fn
 from langmill.operators import labels as label_ops, seeds
+from langmill.session import stage
 
 CORPUS_SCHEMA = "text string, language string, source string, __index_level_0__ bigint"
 SLIDE_SCHEMA = "text string, languages array<string>, original string, id string"
@@ -67,6 +68,11 @@ def _children(node):
     return F.from_json(node, "map<string,string>")
 
 
+def _document(value):
+    """Sections of a whole document, or null if it is cut off or no object."""
+    return F.when(_is_object(value), _children(value))
+
+
 def section_nodes(raw: DataFrame, value: str = "value") -> DataFrame:
     """(l1, l2, node, problem) of JSON documents with two or three levels of sections.
 
@@ -74,16 +80,18 @@ def section_nodes(raw: DataFrame, value: str = "value") -> DataFrame:
     describe both depths. Three-level keys are joined as ``l2/l3``. ``problem`` tells why a node was
     skipped and is null for instance lists.
     """
-    first = raw.select(F.explode(_children(F.col(value))).alias("l1", "n1"))
-    # An object that is no section keeps one row with null keys to carry its problem.
-    second = first.select("l1", "n1", F.explode_outer(F.when(_is_object(F.col("n1")), _children(F.col("n1")))).alias("l2", "n2"))
+    opened = raw.select(_document(F.col(value)).alias("_sections"))
+    # What is no section keeps one row with null keys to carry its problem.
+    first = opened.select(F.col("_sections").isNull().alias("unreadable"), F.explode_outer("_sections").alias("l1", "n1"))
+    second = first.select("unreadable", "l1", "n1", F.explode_outer(F.when(_is_object(F.col("n1")), _children(F.col("n1")))).alias("l2", "n2"))
     third = second.select(
-        "l1", "l2", "n1", "n2",
+        "unreadable", "l1", "l2", "n1", "n2",
         F.explode_outer(F.when(_is_object(F.col("n2")), _children(F.col("n2")))).alias("l3", "n3"),
     )
     node = F.when(F.col("l3").isNotNull(), F.col("n3")).otherwise(F.col("n2"))
     problem = (
-        F.when(~_is_object(F.col("n1")), "level 1 is not an object")
+        F.when(F.col("unreadable"), "document is not a JSON object")
+        .when(F.col("l1").isNotNull() & ~_is_object(F.col("n1")), "level 1 is not an object")
         .when(F.col("l3").isNotNull() & ~_is_list(F.col("n3")), "level 3 is not a list")
         .when(F.col("l3").isNull() & F.col("l2").isNotNull() & ~_is_list(F.col("n2")) & ~_is_object(F.col("n2")), "level 2 is neither list nor object")
     )
@@ -109,19 +117,31 @@ def section_problems(raw: DataFrame, value: str = "value") -> DataFrame:
     return skipped.unionByName(malformed).groupBy("l1", "l2", "problem").agg(F.count(F.lit(1)).alias("n"))
 
 
-def read_sections(spark: SparkSession, path: str) -> DataFrame:
-    """Sectioned JSON files. A file is one JSON document and one row; many files are read in parallel."""
-    return sections(spark.read.text(path, wholetext=True))
+def read_sections(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """Sectioned JSON files. A file is one JSON document and one row; many files are read in parallel.
 
+    An unreadable file is an error; without ``strict`` it has no items and ``section_problems`` counts it.
+    """
+    raw = spark.read.text(path, wholetext=True)
+    if strict:
+        error = F.raise_error(F.concat(F.lit("not a JSON object: "), F.col("_metadata.file_path")))
+        raw = raw.select(F.when(_document(F.col("value")).isNull(), error).otherwise(F.col("value")).alias("value"))
+    return sections(raw)
 
-def instances_at_any_depth(raw: DataFrame, max_depth: int = 6, value: str = "value") -> DataFrame:
-    """(text, gold) of all instances, whatever the nesting of their sections."""
-    level = raw.select(F.explode(_children(F.col(value))).alias("key", "node"))
-    found = None
-    for _ in range(max_depth):
+
+def instances_at_any_depth(raw: DataFrame, value: str = "value") -> DataFrame:
+    """(text, gold) of all instances, whatever the nesting of their sections.
+
+    Levels are opened and staged one at a time until no section holds another.
+    """
+    level, found = raw.select(F.col(value).alias("node")), None
+    while True:
+        opened = level.where(_is_object(F.col("node"))).select(F.explode(_children(F.col("node"))).alias("key", "node"))
+        level = stage(opened.select("node"), "nested")
         lists = level.where(_is_list(F.col("node"))).select(F.explode(F.from_json("node", "array<string>")).alias("e"))
         found = lists if found is None else found.unionAll(lists)
-        level = level.where(_is_object(F.col("node"))).select(F.explode(_children(F.col("node"))).alias("key", "node"))
+        if level.where(_is_object(F.col("node"))).isEmpty():
+            break
     parsed = found.where(_is_object(F.col("e"))).select(F.from_json("e", INSTANCE_SCHEMA).alias("i"))
     return parsed.select(F.col("i.text").alias("text"), F.col("i.label").alias("gold"))
 
@@ -156,12 +176,15 @@ def whole_text(spark: SparkSession, path: str) -> DataFrame:
 def parse_predictions(raw: DataFrame, value: str = "value") -> DataFrame:
     """Columns ``text`` and ``pred`` from lines ``text<TAB>label,label``.
 
-    The split is at the last tab, since texts may contain tabs; a blank label field is an empty set.
+    The split is at the last tab, since texts may contain tabs; a blank label field is an empty set. A line
+    without tab is an error.
     """
     pattern = r"(?s)^(.*)\t([^\t]*)$"
-    fields = text_fn.strip(F.regexp_extract(value, pattern, 2))
+    error = F.raise_error(F.concat(F.lit("prediction line without tab: "), F.substring(F.col(value), 1, 100)))
+    line = F.when(F.contains(F.col(value), F.lit("\t")), F.col(value)).otherwise(error)
+    fields = text_fn.strip(F.regexp_extract(line, pattern, 2))
     pred = F.when(fields == "", F.array().cast("array<string>")).otherwise(F.split(fields, ","))
-    return raw.withColumn("text", text_fn.strip(F.regexp_extract(value, pattern, 1))).withColumn("pred", pred).drop(value)
+    return raw.withColumn("text", text_fn.strip(F.regexp_extract(line, pattern, 1))).withColumn("pred", pred).drop(value)
 
 
 def predictions(spark: SparkSession, path: str) -> DataFrame:

@@ -12,7 +12,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from langmill.operators import contingency
 from langmill.operators.scoring import Scorer, predict
-from langmill.session import staging_path
 from langmill.sources.readers import clean_lines
 
 
@@ -34,10 +33,15 @@ def scored(stream: DataFrame, scorer: Scorer, threshold: float = 0.5) -> DataFra
     return predict(stream, scorer, threshold)
 
 
+def _checkpoint_of(path: str) -> str:
+    """Where the stream that writes ``path`` keeps its progress: the same place at every start."""
+    return f"{path.rstrip('/')}.checkpoint"
+
+
 def write_scored(stream: DataFrame, path: str, checkpoint: str | None = None, available_now: bool = False) -> StreamingQuery:
-    """Append to parquet files. The checkpoint lives in shared storage, so a restart on other machines
+    """Append to parquet files. The checkpoint lives beside them unless named, so a restart on other machines
     continues where the query stopped."""
-    location = checkpoint or staging_path(stream.sparkSession, "stream-checkpoint")
+    location = checkpoint or _checkpoint_of(path)
     writer = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", location)
     if available_now:
         writer = writer.trigger(availableNow=True)
@@ -51,7 +55,7 @@ def running_counts(stream: DataFrame) -> DataFrame:
 
 def write_counts(stream: DataFrame, path: str, checkpoint: str | None = None, available_now: bool = False) -> StreamingQuery:
     """Replace the table of running counts at ``path`` after every batch."""
-    location = checkpoint or staging_path(stream.sparkSession, "stream-checkpoint")
+    location = checkpoint or _checkpoint_of(path)
 
     def replace(batch: DataFrame, _batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(path)

@@ -71,8 +71,8 @@ def test_seed_sizes(spark):
     assert len(seeds.CANONICAL_LABELS) == len(set(seeds.CANONICAL_LABELS)) == 200
     assert seeds.CANONICAL_LABELS == sorted(seeds.CANONICAL_LABELS)
     assert len(seeds.GCLD3_LABELS) == 109 and sum(v is None for v in seeds.GCLD3_LABELS.values()) == 6
-    assert {k: len(v.split()) for k, v in seeds.TIER_LANGUAGES.items()} == {0: 50, 2: 16, 3: 29, 4: 18, 5: 7}
-    assert seeds.tiers(spark).count() == 120
+    assert {k: len(v) for k, v in seeds.TIER_LANGUAGES.items()} == {0: 50, 1: 98, 2: 16, 3: 29, 4: 18, 5: 7}
+    assert {r.iso: r.tier for r in seeds.tiers(spark).collect()} == {iso: t for t in range(5, -1, -1) for iso in seeds.TIER_LANGUAGES[t]}
 
 
 def test_classes_and_encoding(spark):
@@ -109,6 +109,11 @@ def test_softmax_sigmoid_and_loss(spark):
     assert loss == 800.0
 
 
+def test_multilabel_needs_a_threshold(spark):
+    with pytest.raises(ValueError, match="needs a threshold"):
+        scoring.predict(spark.createDataFrame([("a",)], "text string"), lambda df: df, None)
+
+
 def test_external_scorer_and_fallbacks(spark):
     def load():
         def run(texts):

@@ -60,6 +60,37 @@ def test_instances_at_any_depth(spark):
     assert sorted((r.text, r.gold) for r in readers.instances_at_any_depth(raw).collect()) == [("1", ["x"]), ("2", [])]
 
 
+def test_instances_below_eight_sections(spark):
+    nested = [{"text": "deep", "label": ["x"]}]
+    for level in range(8):
+        nested = {f"s{level}": nested}
+    raw = spark.createDataFrame([(json.dumps(nested),), ("[1]",)], "value string")
+    assert [(r.text, r.gold) for r in readers.instances_at_any_depth(raw).collect()] == [("deep", ["x"])]
+
+
+def test_unreadable_documents(spark, tmp_path):
+    raw = spark.createDataFrame([('{"a": {"b": [',), ("[1, 2]",), ("",), ("{}",)], "value string")
+    assert readers.sections(raw).count() == 0
+    assert [(r.l1, r.problem, r.n) for r in readers.section_problems(raw).collect()] == [(None, "document is not a JSON object", 3)]
+    (tmp_path / "broken.json").write_text('{"a": {"b": [')
+    with pytest.raises(PySparkException, match="not a JSON object"):
+        readers.read_sections(spark, str(tmp_path / "broken.json")).collect()
+    assert readers.read_sections(spark, str(tmp_path / "broken.json"), strict=False).count() == 0
+
+
+def test_prediction_line_without_tab(spark):
+    raw = spark.createDataFrame([("a text",)], "value string")
+    with pytest.raises(PySparkException, match="without tab: a text"):
+        readers.parse_predictions(raw).collect()
+
+
+def test_matrix_is_square(spark):
+    from langmill.operators import confusion
+
+    matrix = spark.createDataFrame([("a", "b", 2), ("c", "c", 1)], "gold string, pred string, n long")
+    assert [tuple(r) for r in confusion.wide(matrix, ["a", "d"]).collect()] == [("a", 0, 2, 0, 0), ("b", 0, 0, 0, 0), ("c", 0, 0, 1, 0), ("d", 0, 0, 0, 0)]
+
+
 def test_labelled_corpus(spark, tmp_path):
     path = str(tmp_path / "corpus")
     rows = [("a", "eng_Latn", "s", 1), (None, "eng_Latn", "s", 2)]

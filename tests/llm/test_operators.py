@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from langmill.llm import edits, jaccard, mixing, neighbours, packing, pii, quality, recompress, suffixes, template, tokens
@@ -240,3 +241,18 @@ def test_empty_and_clashing_columns(spark, schema):
             edits.trees(docs), mixing.mix(docs).docs, pii.surrogates(docs)[0].toDF(*"abcdefg"),
         ):
             assert out.count() == len(rows)
+
+
+def test_entities_begin_where_their_looks_behind_allow(spark):
+    cases = {
+        "token=abcdefghijklmno": ["abcdefghijklmno"],
+        "api_key: 'ABCDEF123456789'": ["ABCDEF123456789"],
+        "tokens abcdefghijklmno": [],
+        "Dear Mr. Smith, Mrs Élan Roux; xMr Smith éAnna Smith": ["Smith", "Élan Roux"],
+        "9Anna Smith _Eva Lang": ["Anna Smith", "Eva Lang"],
+        "a@b.co x+a@b.com é10.1.2.3 v10.1.2.3": ["a@b.co", "x+a@b.com", "10.1.2.3"],
+        "é0123456789abcdef0123456789abcdef g0123456789abcdef0123456789abcdef": ["0123456789abcdef0123456789abcdef"],
+    }
+    rows = spark.createDataFrame([(t,) for t in cases], "text string")
+    found = rows.select("text", F.regexp_extract_all("text", F.lit(pii.ANY), F.lit(0)).alias("found")).collect()
+    assert {r["text"]: r["found"] for r in found} == cases

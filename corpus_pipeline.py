@@ -32,10 +32,13 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents come as often as the mix takes them: not at all, once or twice."""
+    """Documents come as often as the mix takes them: not at all, once or twice.
+
+    The draw goes by doc_id, so that the order of rows does not change it; rows with one id go by size, then position.
+    """
     rows = keyed(docs, "pipeline")
-    taken = mixing.mix(rows.withColumnRenamed(ROW, "key"), id_col="key").docs
-    uses = taken.where("taken > 0").select(F.col("key").alias(ROW), (F.col("taken") / F.col("size")).cast("int").alias("uses"))
+    taken = mixing.mix(rows.select(F.struct("doc_id", ROW).alias("key"), "text", "source"), id_col="key", draw_by="id.doc_id").docs
+    uses = taken.where("taken > 0").select(F.col(f"key.{ROW}").alias(ROW), (F.col("taken") / F.col("size")).cast("int").alias("uses"))
     return rows.join(uses, ROW).withColumn("uses", F.explode(F.sequence(F.lit(1), "uses"))).select(*docs.columns)
 
 

@@ -120,13 +120,14 @@ def route(patterns: dict[tuple[str, ...], int], quotas: dict[str, int], costs: t
 
 
 def mix(docs: DataFrame, *, sources: str = "source", weights=(3.0, 1.0, 2.0), share: float = 1.5, most: int = 2,
-        costs: tuple[int, ...] = (1, 3), seed: str = "mix", id_col: str = "doc_id", text_col: str = "text") -> Mix:
+        costs: tuple[int, ...] = (1, 3), seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", draw_by: str = "id") -> Mix:
     """Take ``share`` of all words so that sources come near their targets.
 
     ``weights`` go to the sources by code point (null last), repeating. ``costs`` holds the price of a
     first, second, ... use of a pattern's words and so bounds how often a document is taken; ``most``
     bounds a target by its source's size. A document's ``taken`` is its size times its number of uses.
-    Empty tables and texts without words take nothing; ties in the draw go by id, then row.
+    Empty tables and texts without words take nothing; ties in the draw go by id, then row. ``draw_by`` names
+    the part of the id that decides the draw (``id.part`` of a struct); it is all of it by default.
     """
     rows = sized(docs, sources, id_col, text_col)
     found = rows.groupBy("pattern").agg(F.sum("size").alias("size")).limit(MAX_NODES + 1).collect()
@@ -146,7 +147,7 @@ def mix(docs: DataFrame, *, sources: str = "source", weights=(3.0, 1.0, 2.0), sh
         taken[p] = taken.get(p, 0) + amount
     plan = [(list(p), divmod(taken.get(p, 0), n) if n else (0, 0)) for p, n in patterns.items()]
     plan = rows.sparkSession.createDataFrame([(p, int(uses), int(rest)) for p, (uses, rest) in plan], "p array<string>, uses long, rest long")
-    chosen = starts(rows, ["pattern"], "size", seed, ["id", "size"]).join(F.broadcast(plan), F.col("pattern") == F.col("p"))  # at most MAX_NODES rows
+    chosen = starts(rows, ["pattern"], "size", seed, [draw_by, "size"]).join(F.broadcast(plan), F.col("pattern") == F.col("p"))  # at most MAX_NODES rows
     once_more = (F.col("start") + F.col("size") / 2 <= F.col("rest")).cast("long")
     chosen = chosen.select(F.col("id").alias(id_col), "pattern", "size", ((F.col("uses") + once_more) * F.col("size")).alias("taken"), ROW)
     return Mix(chosen, flows, {s: (sizes[s], targets[s]) for s in names})

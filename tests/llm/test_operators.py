@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from langmill.llm import edits, jaccard, mixing, neighbours, packing, pii, quality, recompress, suffixes, template, tokens
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -256,3 +257,11 @@ def test_entities_begin_where_their_looks_behind_allow(spark):
     rows = spark.createDataFrame([(t,) for t in cases], "text string")
     found = rows.select("text", F.regexp_extract_all("text", F.lit(pii.ANY), F.lit(0)).alias("found")).collect()
     assert {r["text"]: r["found"] for r in found} == cases
+
+
+def test_mixing_stage_does_not_follow_the_order_of_rows(spark):
+    rows = [(i, "word " * (1 + i % 7), f"s{i % 3}") for i in range(200)] + [(None, None, None), (201, "", "s0")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    orders = docs.repartition(1), docs.orderBy(F.desc("doc_id")).repartition(3, "source")
+    one, two = (sorted(r["doc_id"] for r in corpus_pipeline.mix_sources(spark, d, "").collect()) for d in orders)
+    assert one == two and one

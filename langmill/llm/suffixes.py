@@ -3,7 +3,8 @@
 Every string of ``length`` bytes has an anchor that its own bytes choose, so equal strings have equal
 anchors. Anchors whose next bytes are unique drop out first. Tasks sort the suffixes at the other anchors
 into runs, front-code them (length of the prefix shared with the one before, then the rest), and send each
-key range to one task, which merges runs by a loser tree. The tree keeps, for every waiting suffix, how
+key range to one task, which merges runs by a loser tree. Borders of ranges are whole suffixes, so those that
+begin with the same passage are cut into as many ranges as others. The tree keeps, for every waiting suffix, how
 long a prefix it shares with the last winner, and never reads those bytes again. Neighbours in sorted
 order then show which strings occur twice.
 """
@@ -25,7 +26,8 @@ from langmill.llm.table import ROW, draw, keyed, pick, staged, tasks
 AHEAD = 100
 #: Bytes of suffixes that a task sorts into one run, and suffixes for one key range.
 RUN_BYTES, RANGE = 64 << 20, 20_000
-SAMPLE = 2_000
+#: Sampled suffixes for each key range and for each task that orders them.
+OVER, ORDERED = 32, 1_000
 #: Between the suffix and the reversed bytes before it; no byte of UTF-8.
 _END = b"\xff"
 
@@ -167,7 +169,8 @@ def repeats(entries: list[tuple[bytes, int, int]], length: int):
     """Per key of one sorted range: which strings occur twice, and strings whose group may go on in another range.
 
     A key that occurs twice repeats all its strings. Other keys share strings only with keys that share the
-    bytes ahead of the anchor, and those stand together; a group at either end of the range is left open.
+    bytes ahead of the anchor, and those stand together; a group at either end of the range is left open:
+    each of its strings is given once, as ``(key, prints, offsets)``.
     """
     begin, out, open_ = 0, [], []
     while begin < len(entries):
@@ -180,12 +183,13 @@ def repeats(entries: list[tuple[bytes, int, int]], length: int):
         edge = begin == 0 or end == len(entries)
         if (len(group) > 1 or edge) and not all(n > 1 for _, n, _ in group) or edge:
             prints = _window_prints(contexts, length)
-            if len(group) > 1:
-                values, inverse, times = np.unique(np.concatenate(prints), return_inverse=True, return_counts=True)
-                often = np.split(times[inverse] > 1, np.cumsum([len(p) for p in prints])[:-1])
-                found = [f | o for f, o in zip(found, often)]
-            if edge:
-                open_ += [(k, p) for (k, _, _), p in zip(group, prints)]
+            values, at, inverse, times = np.unique(np.concatenate(prints), return_index=True, return_inverse=True, return_counts=True)
+            cuts = np.cumsum([len(p) for p in prints])[:-1]
+            found = [f | o for f, o in zip(found, np.split(times[inverse] > 1, cuts))]
+            if edge:  # strings found twice here are settled, and the first of them speaks for all in other ranges
+                once = np.zeros(len(inverse), dtype=bool)
+                once[at] = True
+                open_ += [(k, p[o], np.flatnonzero(o)) for (k, _, _), p, o in zip(group, prints, np.split(once, cuts)) if o.any()]
         out += [(k, f) for (k, _, _), f in zip(group, found) if f.any()]
         begin = end
     return out, open_
@@ -213,10 +217,8 @@ def remove_repeats(docs: DataFrame, *, length: int = 400, id_col: str = "doc_id"
     found = staged(rows.select(ROW, "text").mapInArrow(find, f"{ROW} long, at int, first int, last int, print long"), "suffixes-anchors")
     repeated = found.groupBy("print").count().where("count > 1").select("print")
     marked = staged(found.join(repeated, "print").drop("print"), "suffixes-marked")
-    ranges = max(tasks(rows), marked.count() // RANGE)
-    splits = _splits(rows, ranges)
-    by_row = marked.groupBy(ROW).agg(F.collect_list(F.struct("at", "first", "last")).alias("anchors"))
-    sorted_ = rows.select(ROW, "text").join(by_row, ROW).mapInArrow(_runs(splits, length), _RUNS)
+    splits = _splits(rows, marked, length)
+    sorted_ = _with_anchors(rows, marked).mapInArrow(_runs(splits, length), _RUNS)
     sorted_ = staged(sorted_, "suffixes-runs")
     runs = sorted_.where("range is not null").select("range", "prefix", "counts", "tails")
     classes = staged(runs.groupBy("range").applyInArrow(_merge(length), _CLASSES), "suffixes-classes")
@@ -237,12 +239,43 @@ _CLASSES = "one long, two long, intervals array<struct<from:int,to:int>>, print
 _CUT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
-def _splits(rows: DataFrame, ranges: int) -> list[bytes]:
-    """Borders of ``ranges`` key ranges from a bounded sample of places in the texts; they decide the balance only."""
-    place = F.floor(draw("suffix-place", ROW) * F.length("text")).cast("int") + 1
-    cuts = rows.where(F.length("text") > 0).select(draw("suffix-sample", ROW).alias("draw"), ROW, F.substring("text", place, F.lit(64)).alias("cut"))
-    keys = sorted(r["cut"].encode() for r in cuts.orderBy("draw", ROW).limit(SAMPLE).collect())
-    return sorted({keys[i * len(keys) // ranges] for i in range(1, ranges)}) if keys else []
+def _with_anchors(rows: DataFrame, marked: DataFrame) -> DataFrame:
+    by_row = marked.groupBy(ROW).agg(F.collect_list(F.struct("at", "first", "last")).alias("anchors"))
+    return rows.select(ROW, "text").join(by_row, ROW)
+
+
+def _key(raw: bytes, anchor: dict, length: int) -> bytes:
+    return raw[anchor["at"] : anchor["last"] + length] + _END + raw[anchor["first"] : anchor["at"]][::-1]
+
+
+def _splits(rows: DataFrame, marked: DataFrame, length: int) -> list[bytes]:
+    """Borders of key ranges of about ``RANGE`` suffixes, at least one range for each task.
+
+    They are keys of a sample that grows with the number of ranges, each cut after the first byte that tells it
+    from the sampled key before. They decide the balance only.
+    """
+    many = marked.count()
+    wanted = OVER * max(tasks(rows), many // RANGE)
+
+    def keys(batches):
+        for batch in batches:
+            texts = [text.as_buffer().to_pybytes() for text in batch.column("text")]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([_key(raw, f, length) for raw, found in zip(texts, batch.column("anchors").to_pylist()) for f in found], pa.binary())], ["key"])
+
+    def borders(batches):
+        before, n, out = b"", 0, []
+        for batch in batches:
+            for key in batch.column("key").to_pylist():
+                if n % OVER == 0:
+                    out.append(key[: shared(before, key) + 1] if n else key)
+                before, n = key, n + 1
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["key"])
+
+    drawn = marked.where(draw("suffix-border", ROW, "at") * many < wanted)
+    sample = staged(_with_anchors(rows, drawn).mapInArrow(keys, "key binary"), "suffixes-sample")
+    ordered = sample.repartitionByRange(min(tasks(rows), -(-wanted // ORDERED)), "key").sortWithinPartitions("key")
+    return sorted({r["key"] for r in ordered.mapInArrow(borders, "key binary").collect()})
 
 
 def _runs(splits: list[bytes], length: int):
@@ -267,7 +300,7 @@ def _runs(splits: list[bytes], length: int):
             for row, text, found in zip(batch.column(ROW).to_pylist(), batch.column("text"), batch.column("anchors").to_pylist()):
                 raw = text.as_buffer().to_pybytes()
                 for f in found:
-                    key = raw[f["at"] : f["last"] + length] + _END + raw[f["first"] : f["at"]][::-1]
+                    key = _key(raw, f, length)
                     places.append((row, f["first"], *_class(key)))
                     held += 0 if key in keys else len(key)
                     keys[key] = keys.get(key, 0) + 1
@@ -291,10 +324,10 @@ def _merge(length: int):
         entries = list(merged([Run(*x) for x in zip(*columns)]))
         found, open_ = repeats(entries, length)
         names = [_class(k) for k, _ in found]
-        left = [_class(k) for k, _ in open_]
-        size = [len(p) for _, p in open_]
-        prints = np.concatenate([p for _, p in open_]).astype(np.int64) if open_ else np.zeros(0, dtype=np.int64)
-        offset = np.concatenate([np.arange(n) for n in size]).astype(np.int32) if open_ else np.zeros(0, dtype=np.int32)
+        left = [_class(k) for k, _, _ in open_]
+        size = [len(p) for _, p, _ in open_]
+        prints = np.concatenate([p for _, p, _ in open_]).astype(np.int64) if open_ else np.zeros(0, dtype=np.int64)
+        offset = np.concatenate([o for _, _, o in open_]).astype(np.int32) if open_ else np.zeros(0, dtype=np.int32)
         kind = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
         one = np.concatenate(([x[0] for x in names], np.repeat([x[0] for x in left], size))).astype(np.int64) if names or left else []
         two = np.concatenate(([x[1] for x in names], np.repeat([x[1] for x in left], size))).astype(np.int64) if names or left else []

@@ -100,6 +100,25 @@ def test_byte_strings(spark):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got if r.doc_id in want} == want
 
 
+def test_byte_strings_around_one_passage_are_cut_into_ranges(spark, monkeypatch):
+    draw = random.Random(9)
+    letters = "abcdefghij klmnop"
+    some = lambda n: "".join(draw.choice(letters) for _ in range(n))
+    footer = some(380)
+    rows = [(i, some(500) + footer + some(500)) for i in range(300)]
+    shared = some(100)
+    rows += [(300 + i, some(300) + shared[:50] + footer + shared[50:] + some(300)) for i in range(20)]
+    kept = {}
+    stage = suffixes.staged
+    monkeypatch.setattr(suffixes, "staged", lambda df, name: kept.setdefault(name, stage(df, name)))
+    got = suffixes.remove_repeats(table(spark, rows)).collect()
+    sizes = [r.n for r in kept["suffixes-runs"].where("range is not null").groupBy("range").agg(F.sum(F.size("counts")).alias("n")).collect()]
+    assert sum(sizes) > 300 and max(sizes) < sum(sizes) / 3
+    times = collections.Counter(t[k : k + 400] for _, t in rows for k in range(len(t) - 399))
+    gone = {i: {k + j for k in range(len(t) - 399) if times[t[k : k + 400]] > 1 for j in range(400)} for i, t in rows}
+    assert {r.doc_id: r.n_removed for r in got} == {i: len(g) for i, g in gone.items()} and len(gone[300]) >= 480
+
+
 def test_loser_tree_merges_and_counts():
     draw = random.Random(4)
     keys = [[bytes(draw.choice(b"ab") for _ in range(draw.randint(0, 6))) for _ in range(draw.randint(0, 30))] for _ in range(7)]

@@ -28,24 +28,25 @@ SYLLABLES = {
     "cyrillic": "бар вол гор дан зим кар лес мир нов пет рад сел тур хар чер шар".split(),
     "greek": "βαρ γαλ δημ καρ λαμ μαν νικ παπ σαρ ταρ φιλ χαρ".split(),
 }
-TITLES = {"f": "Mrs Ms Miss Frau Madame Mme Señora Sra Doña Госпожа Κυρία".split(), "m": "Mr Sir Herr Monsieur Señor Sr Don Господин Κύριος".split()}
+TITLES = {"f": "Mrs Ms Miss Frau Madame Mme Señora Sra Doña Госпожа Κυρία".split(), "m": "Mr Sir Herr Monsieur Señor Sr Don Господин Κύριος".split(), "any": "Dr Prof Doctor Professor".split()}
 SECRET_WORDS = "token api[_-]?key secret password passwd access[_-]?key".split()
 
 _NAME = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
 _GIVEN = "|".join(name for names in GIVEN.values() for name in names)
+_HEX = "[0-9A-Fa-f]{1,4}"
 _TITLE = "|".join(t for titles in TITLES.values() for t in titles)
 #: The kinds in the order in which they are tried at a position. Tests of one character come before the
 #: costly looks behind that imply them.
 PATTERNS = {
     "email": r"(?<![\w.%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "secret": rf"(?<=[=: \"'])(?=[A-Za-z0-9_+/-]{{12}})(?<=(?i:{'|'.join(SECRET_WORDS)}) {{0,3}}[=:] {{0,3}}[\"']?)[A-Za-z0-9_+/-]{{12,}}|(?<!\w)[0-9a-fA-F]{{32,}}(?!\w)",
-    "ipv6": r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])",
+    "ipv6": rf"(?<![\w:])(?=[0-9A-Fa-f]{{0,4}}:)(?:(?:{_HEX}:){{7}}{_HEX}|(?=:*[0-9A-Fa-f])(?!(?:[0-9A-Fa-f]*:){{9}})(?:{_HEX}(?::{_HEX}){{0,6}})?::(?:{_HEX}(?::{_HEX}){{0,6}})?(?:(?<=:\d{{1,3}})(?:\.\d{{1,3}}){{3}})?)(?![\w:])",
     "ip": r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "card": r"(?<![\w.+])\d(?:[ -]?\d){12,18}(?!\w)",
     "phone": r"(?<!\w)(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\w)|(?<!\w)\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?!\w)",
-    "person": rf"(?=\p{{Lu}})(?:(?<= )(?<=(?<!\p{{L}})(?:{_TITLE})\.? ){_NAME}(?: {_NAME})?|(?<!\p{{L}})(?:{_GIVEN}) {_NAME})",
+    "person": rf"(?=\p{{Lu}})(?:(?<= )(?<=(?<!\p{{L}})(?:{_TITLE})\.? )(?!(?:{_TITLE})(?!\p{{L}})){_NAME}(?: {_NAME})?|(?<!\p{{L}})(?:{_GIVEN}) {_NAME})",
 }
 #: No kind begins right after a letter, so most places are passed over at once.
 ANY = f"(?<![A-Za-z])(?:{'|'.join(f'(?:{p})' for p in PATTERNS.values())})"
@@ -136,6 +137,12 @@ def _ip(value: Column, stream: Column) -> Column:
     return F.array_join(F.transform(F.split(value, r"\."), part), ".")
 
 
+def _ipv6(value: Column, stream: Column) -> Column:
+    """Groups keep their lengths and "::" its place; numbers of a dotted end stay below 256."""
+    groups = _characters(F.regexp_replace(value, r"[0-9]+(?:\.[0-9]+){3}$", ""), stream, F.lit(0), F.lit(True))
+    return F.when(value.contains("."), F.concat(groups, _ip(F.regexp_extract(value, r"([0-9.]+)$", 1), stream))).otherwise(groups)
+
+
 def _email(value: Column, stream: Column) -> Column:
     """The top domain stays."""
     top = F.regexp_extract(value, r"(\.[A-Za-z]+)$", 1)
@@ -163,6 +170,7 @@ def _surrogate(key: str, kind: Column, value: Column, attempt: Column) -> Column
     plain = _characters(value, stream, F.lit(0), F.lit(False))
     drawn = (
         F.when(kind == "email", _email(value, stream)).when(kind == "ip", _ip(value, stream)).when(kind == "card", _card(value, stream))
+        .when(kind == "ipv6", _ipv6(value, stream))
         .when(kind == "iban", _iban(value, stream)).when(kind == "phone", _characters(value, stream, F.length(F.regexp_extract(value, r"^(\+\d{1,3})", 1)), F.lit(False)))
         .when(kind.isin("given_f", "given_m", "family"), _name(value, kind, stream, attempt))
         .when(value.rlike("^[0-9a-f:]+$") | value.rlike("^[0-9A-F:]+$"), _characters(value, stream, F.lit(0), F.lit(True))).otherwise(plain)

@@ -284,3 +284,12 @@ def test_mixing_stage_does_not_follow_the_order_of_rows(spark):
     orders = docs.repartition(1), docs.orderBy(F.desc("doc_id")).repartition(3, "source")
     one, two = (sorted(r["doc_id"] for r in corpus_pipeline.mix_sources(spark, d, "").collect()) for d in orders)
     assert one == two and one
+
+
+def test_compressed_addresses_and_academic_titles(spark):
+    rows = [(1, "from 2001:db8::1 and ::ffff:10.1.2.3, fe80::A1 to ::1; Dr. Miller met Prof. Dr. Weber, not :: or 10:30"), (2, "at 12:30:15 x")]
+    out, made = pii.surrogates(table(spark, rows))
+    got = {r.doc_id: (r.text, r.n_entities) for r in out.collect()}
+    shape = r"from [0-9a-f]{4}:[0-9a-f]{3}::[0-9a-f] and ::[0-9a-f]{4}:\d\d\.\d\.\d\.\d, [0-9a-f]{4}::[A-F0-9a-f]{2} to ::[0-9a-f]+; Dr\. \w+ met Prof\. Dr\. \w+, not :: or 10:30"
+    assert re.fullmatch(shape, got[1][0]) and got[1][1] == 6 and got[2] == ("at 12:30:15 x", 0)
+    assert {r.value for r in made.collect()} == {"2001:db8::1", "::ffff:10.1.2.3", "fe80::A1", "::1", "Miller", "Weber"}

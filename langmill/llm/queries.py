@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from langmill.llm import edits, jaccard, merkle, mixing, neighbours, packing, pii, quality, recompress, statements, suffixes, template
+from langmill.llm import edits, jaccard, merkle, mixing, neighbours, packing, pii, quality, recompress, statements, suffixes, template, whitening
 from langmill.llm.table import pick
 
 
@@ -67,6 +67,11 @@ def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
 
+def op12_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """All vectors on the 16 leading components of the distinct ones, whitened."""
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
 def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     """Leaf, roots and proof of every document, and the root that its text, line breaks deleted from some, leads to."""
     fields = ["doc_id", "source", "lang", "n_chars", "text"]
@@ -86,7 +91,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_nearest_neighbours, op2_mixing, op3_ngram_jaccard_join, op4_suffix_array_dedup, op5_html_extraction, op6_pii,
-        op7_substring_dedup, op8_packing, op9_token_counts, op10_quality_rules, op13_merkle_manifest,
+        op7_substring_dedup, op8_packing, op9_token_counts, op10_quality_rules, op12_embedding_whitening,
+        op13_merkle_manifest,
     )
 }
 #: The rest is beyond SQL, or too slow for it; tests compare it with plain versions.

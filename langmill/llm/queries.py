@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from langmill.llm import edits, jaccard, merkle, mixing, neighbours, packing, pii, quality, recompress, statements, suffixes, template, whitening
+from langmill.llm import bpe, edits, jaccard, merkle, mixing, neighbours, packing, pii, quality, recompress, statements, suffixes, template, whitening
 from langmill.llm.table import pick
 
 
@@ -67,6 +67,14 @@ def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
 
+def op11_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of every document, and the bytes that they stand for."""
+    coded = bpe.decode(bpe.encode(table(spark, folder, "documents")))
+    return coded.select(
+        F.col("id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 def op12_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
     """All vectors on the 16 leading components of the distinct ones, whitened."""
     return whitening.whiten(table(spark, folder, "embeddings"))
@@ -91,8 +99,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_nearest_neighbours, op2_mixing, op3_ngram_jaccard_join, op4_suffix_array_dedup, op5_html_extraction, op6_pii,
-        op7_substring_dedup, op8_packing, op9_token_counts, op10_quality_rules, op12_embedding_whitening,
-        op13_merkle_manifest,
+        op7_substring_dedup, op8_packing, op9_token_counts, op10_quality_rules, op11_byte_bpe,
+        op12_embedding_whitening, op13_merkle_manifest,
     )
 }
 #: The rest is beyond SQL, or too slow for it; tests compare it with plain versions.

@@ -42,11 +42,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _power["up"][:n], _power["down"][:n]
 
 
-def blocks(column: pa.Array, limit: int = BLOCK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Cut a text column into blocks: first row, end row, bytes, offsets (one more than rows). Null is empty."""
+def blocks(column: pa.Array, limit: int = BLOCK, kind: pa.DataType = pa.large_string()) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Cut a column of texts, or of bytes, into blocks: first row, end row, bytes, offsets (one more than rows). Null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    column = pc.fill_null(column.cast(kind), pa.scalar(b"" if kind == pa.large_binary() else "", kind))
     n = len(column)
     if not n:
         return

@@ -24,8 +24,9 @@ _NONE = np.int32(2**31 - 1)  # rank of two ids that do not merge
 _CELLS = 1 << 20  # cells of a matrix of pieces
 #: Pieces of more bytes are merged alone.
 LONG = 128
-#: Bytes of segments whose ids a worker keeps; beyond, it starts anew.
-KEPT = 1 << 26
+#: Bytes of the table of segments that a worker keeps with their ids; beyond, it starts anew. An entry counts so many
+#: bytes besides its own: a key, a slot, a number.
+KEPT, ENTRY = 1 << 26, 200
 
 # Letters and numbers assigned after the version of Unicode that the tiktoken library knows. It splits
 # them like signs.
@@ -96,6 +97,25 @@ class PairTable:
         return out.reshape(shape)
 
 
+class Growing:
+    """An array that grows at its end."""
+
+    def __init__(self, kind: type):
+        self.held, self.n = np.zeros(1024, dtype=kind), 0
+
+    @property
+    def values(self) -> np.ndarray:
+        return self.held[: self.n]
+
+    def extend(self, more: np.ndarray) -> None:
+        if self.n + len(more) > len(self.held):
+            grown = np.zeros(self.n + len(more) + len(self.held) // 2, dtype=self.held.dtype)
+            grown[: self.n] = self.values
+            self.held = grown
+        self.held[self.n : self.n + len(more)] = more
+        self.n += len(more)
+
+
 class Coder:
     """Encodes and decodes with one file of ranks; ids are ranks."""
 
@@ -125,7 +145,8 @@ class Coder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[bytes, np.ndarray] = {}
+        self.known: dict[bytes, int] = {}  # segment i has the ids pool[place[i] : place[i] + size[i]]
+        self.at, self.size, self.pool = (Growing(kind) for kind in (np.int64, np.int64, np.int32))
         self.held = 0
 
     # --- splitting ---
@@ -241,27 +262,35 @@ class Coder:
             end = np.concatenate((start[1:], [len(data)])).astype(np.int64) if len(start) else start
             first, inverse = _distinct(data, start, end)
             raw = data.tobytes()
-            found = self._segments([raw[x:y] for x, y in zip(start[first].tolist(), end[first].tolist())])
-            size = np.array([len(x) for x in found], dtype=np.int64)
-            pool = np.concatenate(found) if found else np.zeros(0, dtype=np.int32)
-            place = (np.cumsum(size) - size)[inverse]
-            size = size[inverse]
+            which = self._segments([raw[x:y] for x, y in zip(start[first].tolist(), end[first].tolist())])[inverse]
+            size = self.size.values[which]
             cut = np.concatenate(([0], np.cumsum(size)))[np.searchsorted(start, offsets)]
-            yield a, b, pool[ragged(place, size)], cut
+            yield a, b, self.pool.values[ragged(self.at.values[which], size)], cut
 
-    def _segments(self, items: list[bytes]) -> list[np.ndarray]:
+    def _segments(self, items: list[bytes]) -> np.ndarray:
+        """Places of distinct segments in the table of this worker; those not there are encoded and added."""
         missing = [x for x in items if x not in self.known]
+        if missing and self.held > KEPT:
+            self._forget()
+            missing = items
         if missing:
-            if self.held > KEPT:
-                self._forget()
-                missing = items
-            pieces = [[p.encode() for p in self.split(x.decode("utf-8", "replace"))] for x in missing]
-            distinct = list(dict.fromkeys(p for ps in pieces for p in ps))
-            ids = dict(zip(distinct, self.pieces(distinct)))
-            for x, ps in zip(missing, pieces):
-                self.known[x] = ids[ps[0]] if len(ps) == 1 else np.concatenate([ids[p] for p in ps]) if ps else np.zeros(0, dtype=np.int32)
-                self.held += len(x) + 64
-        return [self.known[x] for x in items]
+            owner, flat = [], []
+            for i, x in enumerate(missing):
+                found = self.split(x.decode("utf-8", "replace"))
+                flat += found
+                owner += [i] * len(found)
+            place = {p: k for k, p in enumerate(dict.fromkeys(flat))}
+            ids = self.pieces([p.encode() for p in place])
+            which = np.array([place[p] for p in flat], dtype=np.int64)
+            width = np.array([len(x) for x in ids], dtype=np.int64)
+            all_ids = np.concatenate(ids) if ids else np.zeros(0, dtype=np.int32)
+            size = np.bincount(np.array(owner, dtype=np.int64), width[which], len(missing)).astype(np.int64)
+            self.at.extend(len(self.pool.values) + np.cumsum(size) - size)
+            self.size.extend(size)
+            self.pool.extend(all_ids[ragged((np.cumsum(width) - width)[which], width[which])])
+            self.known.update(zip(missing, range(len(self.known), len(self.known) + len(missing))))
+            self.held += sum(map(len, missing)) + ENTRY * len(missing)
+        return np.array([self.known[x] for x in items], dtype=np.int64)
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """Bytes of the ids, one after the other."""

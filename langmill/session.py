@@ -49,6 +49,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_staged(spark: SparkSession, path: str) -> None:
+    """Remove a table that this library staged and no later step reads."""
+    jvm = spark.sparkContext._jvm
+    table, folder = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{shared_dir(spark)}/langmill"))
+    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.makeQualified(table).getParent().equals(store.makeQualified(folder)):
+        raise ValueError(f"{path} is no staged table")
+    store.delete(table, True)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Reliable checkpoint for small results that are used more than once or whose size is checked."""
     spark = df.sparkSession
@@ -69,15 +79,14 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[D
 
 
 def spread(df: DataFrame, *keys: str, always: bool = False) -> DataFrame:
-    """Spread rows over the cores when the input has fewer files than cores.
+    """Spread rows over the cores when the scan has fewer tasks than cores.
 
-    A file with one row group is one task, however large its texts are. Inputs with many files are
-    left alone: their scan already fills the cluster and a shuffle would only add cost. ``always`` is
-    for operators that need the rows partitioned by ``key`` in any case.
+    A scan splits files by bytes, so an input of any size has tasks enough and is left alone: a shuffle
+    would only add cost. ``always`` is for operators that need the rows partitioned by ``key`` in any case.
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    if not always and len(df.inputFiles()) >= cores:
+    if not always and df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), cores), *keys)
 

@@ -467,26 +467,60 @@ def negative_samples(spark, folder):
 
 def ovr_scores(spark, folder):
     """Multiclass model: fitted on the training part, prediction and confidence for each held-out text."""
-    return _fitted(spark, folder, multilabel=False)
+    docs = documents(spark, folder).withColumn("gold", labelsets.as_set(F.col("lang")))
+    scored = _fitted(spark, docs, multilabel=False)
+    top = score_fn.best(F.col("scores"))
+    return scored.select(
+        "doc_id", "lang", top["label"].alias("prediction"), F.round(top["score"], 3).alias("confidence"),
+        F.array_join("pred", ",").alias("pred"),
+    )
 
 
 def ovr_multilabel(spark, folder):
-    return _fitted(spark, folder, multilabel=True)
+    """Multilabel model: every second text, by hash, is followed by the next document, and has the labels of both."""
+    docs = documents(spark, folder).select("doc_id", "text", "lang")
+    follower = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("more"), F.col("lang").alias("other"))
+    paired = docs.join(follower, "doc_id", "left").withColumn("_two", (F.xxhash64("doc_id") % 2 == 0) & F.col("more").isNotNull())
+    own = labelsets.as_set(F.col("lang"))
+    mixed = paired.select(
+        "doc_id", F.when(F.col("_two"), F.concat_ws(" ", "text", "more")).otherwise(F.col("text")).alias("text"),
+        F.when(F.col("_two"), labelsets.union(own, labelsets.as_set(F.col("other")))).otherwise(own).alias("gold"),
+    )
+    scored = _fitted(spark, mixed, multilabel=True)
+    return scored.select(
+        "doc_id", F.array_join(F.array_sort("gold"), ",").alias("gold"), F.array_join("pred", ",").alias("pred"),
+        F.round(score_fn.best(F.col("scores"))["score"], 3).alias("confidence"),
+    )
 
 
-def _fitted(spark, folder, multilabel):
-    docs = documents(spark, folder).withColumn("gold", labelsets.as_set(F.col("lang")))
+def _fitted(spark: SparkSession, docs: DataFrame, multilabel: bool) -> DataFrame:
+    """Split, fit, save, load, and predict the held-out rows."""
     split = stage(sampling.split_corpus(docs, "doc_id", 0.2, SEED), "split")
     model = classifier.fit(split.where("split = 'train'").drop("split"), multilabel, seed=SEED)
     path = staging_path(spark, "model")
     model.save(path)
     loaded = classifier.NgramClassifier.load(spark, path)
-    scored = loaded.predict(split.where("split = 'eval'").drop("split"))
-    top = score_fn.best(F.col("scores"))
-    return scored.select(
-        "doc_id", "lang", top["label"].alias("prediction"), F.round(top["score"], 3).alias("confidence"),
-        F.array_join("pred", ",").alias("pred"),
-    )
+    return loaded.predict(split.where("split = 'eval'").drop("split"))
+
+
+def _share_of_spaces() -> Callable[[list[str]], list]:
+    """A model that fails, with its whole batch, on texts whose length is a multiple of 20."""
+
+    def predict(texts: list[str]) -> list:
+        wrong = [len(t) for t in texts if len(t) % 20 == 0]
+        if wrong:
+            raise ValueError(f"cannot read {wrong[0]} characters")
+        shares = [t.count(" ") / len(t) for t in texts]
+        return [[("spaces", share), ("others", 1.0 - share)] for share in shares]
+
+    return predict
+
+
+def failing_scorer(spark, folder):
+    """Texts scored by a plug-in that raises on some: only those fail, each with its own message."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    scored = scoring.predict(docs, scoring.external_scorer(_share_of_spaces, errors="error"), 0.15)
+    return scored.select("doc_id", "failed", "error", F.array_join("pred", ",").alias("pred"))
 
 
 # --- tokens ----------------------------------------------------------------------------------
@@ -539,8 +573,8 @@ def stream_counts(spark, folder):
     stream = stream_lines.table_stream(spark, folder, "documents.parquet").where(F.col("text").isNotNull())
     scored = stream_lines.scored(stream.select("doc_id", "text"), lexicon_scorer(), THRESHOLD)
     path = staging_path(spark, "stream-counts")
-    stream_lines.write_counts(scored, path, available_now=True).awaitTermination()
-    return spark.read.parquet(path)
+    stream_lines.publish_counts(scored, path, available_now=True).awaitTermination()
+    return stream_lines.read_counts(spark, path)
 
 
 QUERIES: dict[str, Query] = {
@@ -594,6 +628,7 @@ QUERIES: dict[str, Query] = {
     "byte_token_corpus": byte_token_corpus,
     "pad_truncate": pad_truncate,
     "byte_rewrite": byte_rewrite,
+    "failing_scorer": failing_scorer,
     "ovr_scores": ovr_scores,
     "ovr_multilabel": ovr_multilabel,
     "stream_scores": stream_scores,

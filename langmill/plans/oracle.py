@@ -404,6 +404,11 @@ SELECT doc_id, string_agg(label, ',' ORDER BY label) AS negatives FROM negs GROU
 FROM (SELECT doc_id, {IDS} AS ids FROM documents)""",
         "byte_rewrite": f"""SELECT doc_id, (length(h) // 2)::BIGINT AS n_tokens, md5(h) AS tokens_md5, TRUE AS round_trip
 FROM (SELECT doc_id, {rewrite('d', catalog.MERGE)} AS h FROM (SELECT doc_id, {rewrite(HEX, catalog.DECOMPOSE)} AS d FROM documents))""",
+        "failing_scorer": """SELECT doc_id, text IS NULL OR length(text) % 20 = 0 AS failed,
+  CASE WHEN length(text) % 20 = 0 THEN 'ValueError: cannot read ' || length(text) || ' characters' END AS error,
+  CASE WHEN text IS NULL OR length(text) % 20 = 0 THEN ''
+    ELSE concat_ws(',', CASE WHEN share <= 1 - share THEN 'others' END, CASE WHEN share > 0.15 THEN 'spaces' END, CASE WHEN share > 1 - share AND 1 - share > 0.15 THEN 'others' END) END AS pred
+FROM (SELECT doc_id, text, (length(text) - length(replace(text, ' ', '')))::DOUBLE / nullif(length(text), 0) AS share FROM documents)""",
         "stream_scores": f"WITH {DOC_PRED} SELECT doc_id, array_to_string(pred, ',') AS pred FROM pred",
         "stream_counts": f"WITH {DOC_PRED} SELECT label, count(*) AS n FROM (SELECT unnest(pred) AS label FROM pred) GROUP BY label",
     }

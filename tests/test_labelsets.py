@@ -129,3 +129,36 @@ def test_external_scorer_and_fallbacks(spark):
     assert one == {"ok": (["x"], [0.9]), "boom": (["eng_Latn"], [1.0])}
     explained = scoring.explain(df.where("text = 'ok'"), scorer, k=1).first()
     assert explained.prediction == "x" and len(explained.ranked) == 1 and len(explained.all_probabilities) == 2
+
+
+def test_a_failing_text_fails_alone(spark):
+    """A model that raises on two of many texts, or returns too few results: all others are scored."""
+    def load():
+        def predict(texts):
+            if any(t == "bad" for t in texts):
+                raise RuntimeError("no score for bad")
+            return [[("a", 1.0)] for t in texts if t != "short"]
+
+        return predict
+
+    texts = [f"t{i}" for i in range(900)] + ["bad", "bad", "short", None, ""]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string").repartition(3)
+    found = {r.id: r for r in scoring.predict(rows, scoring.external_scorer(load, errors="why"), 0.5).collect()}
+    assert len(found) == len(texts)
+    assert [i for i, r in found.items() if r.failed] and {i for i, r in found.items() if r.failed} == {900, 901, 902, 903}
+    assert found[900].why == "RuntimeError: no score for bad" and found[902].why == "ValueError: 0 results for 1 texts" and found[903].why is None
+    assert found[0].pred == ["a"] and found[904].pred == ["a"] and found[900].pred == []
+
+
+def test_isolation_cost():
+    calls = []
+
+    def predict(texts):
+        calls.append(len(texts))
+        if "x" in texts:
+            raise ValueError("x")
+        return [[("a", 1)] for _ in texts]
+
+    found = scoring.isolated(predict, ["t"] * 500 + ["x"] + ["t"] * 523)
+    assert [i for i, (r, e) in enumerate(found) if e] == [500] and len(calls) <= 2 * 10 + 1
+    assert scoring.isolated(predict, []) == []

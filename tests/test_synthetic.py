@@ -101,3 +101,29 @@ def test_stream_equals_batch(spark, tmp_path):
     again = lines.scored(lines.line_stream(spark, str(folder)), lexicon_scorer())
     lines.write_scored(again, out, checkpoint, available_now=True).awaitTermination()
     assert spark.read.parquet(out).count() == 5
+
+
+def test_counts_are_published_by_version(spark, tmp_path):
+    """A reader finds the last complete version; a batch run again changes nothing, the rest of a crash is replaced."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.txt").write_text("the cat and the dog\nle chat et la souris\n")
+    path, checkpoint = staging_path(spark, "t"), staging_path(spark, "t")
+    counts = lambda: {r.label: r.n for r in lines.read_counts(spark, path).collect()}
+    assert counts() == {}
+
+    def run():
+        stream = lines.scored(lines.line_stream(spark, str(folder), files_per_trigger=1), lexicon_scorer())
+        lines.publish_counts(stream, path, checkpoint, available_now=True).awaitTermination()
+
+    run()
+    assert counts() == {"eng_Latn": 1, "fra_Latn": 1}
+    opened = lines.read_counts(spark, path)
+    spark.range(3).write.parquet(f"{path}/version-1")  # what a crash left: written, but never announced
+    assert counts() == {"eng_Latn": 1, "fra_Latn": 1}
+    (folder / "b.txt").write_text("the end of it\n")
+    run()
+    assert counts() == {"eng_Latn": 2, "fra_Latn": 1}
+    assert opened.count() == 2  # the version before is still there
+    run()
+    assert counts() == {"eng_Latn": 2, "fra_Latn": 1} and lines._announced(spark, path) == [0, 1]

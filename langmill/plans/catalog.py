@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from langmill.functions import draws, labelsets, ratios, scores as score_fn, text as text_fn
 from langmill.operators import (
-    byte_tokens, classifier, confusion, contingency, hierarchy, labels as label_ops, ngrams, profile, sampling, scoring,
+    byte_rules, byte_tokens, classifier, confusion, contingency, hierarchy, labels as label_ops, ngrams, profile, sampling, scoring,
     similarity, synthetic, tiers as tier_ops,
 )
 from langmill.operators.lexicon import lexicon_scorer
@@ -549,12 +549,17 @@ DECOMPOSE = {"c3 a9": "01 65", "c3 a8": "02 65", "c3 bc": "03 75", "c3 a4": "03
 MERGE = {"74 68": "05", "74 68 65": "06", "65 6e": "07", "01 65": "08", "73 63 68": "0b"}
 
 
+def rule_table(spark: SparkSession, rules: dict[str, str]) -> DataFrame:
+    return inline_table(spark, byte_rules.RULES, [(i, *rule) for i, rule in enumerate(rules.items())])
+
+
 def byte_rewrite(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    encoded = docs.select("doc_id", "text", byte_tokens.encode(F.col("text"), DECOMPOSE, MERGE).alias("tokens"))
-    return encoded.select(
-        "doc_id", F.size("tokens").cast("bigint").alias("n_tokens"), F.md5(F.array_join("tokens", "")).alias("tokens_md5"),
-        (byte_tokens.decode(F.col("tokens"), DECOMPOSE, MERGE) == F.col("text")).alias("round_trip"),
+    rules = rule_table(spark, DECOMPOSE), rule_table(spark, MERGE)
+    rows = byte_rules.decode(byte_rules.encode(docs, "text", *rules), "bytes", *rules)
+    return rows.select(
+        "doc_id", F.octet_length("bytes").cast("bigint").alias("n_tokens"), F.md5(F.lower(F.hex("bytes"))).alias("tokens_md5"),
+        (F.col("decoded") == F.col("text")).alias("round_trip"),
     )
 
 

@@ -243,6 +243,10 @@ def rewrite(digits: str, rules: dict[str, str]) -> str:
     return f"array_to_string(list_transform(regexp_extract_all({digits}, '({pattern}|..)', 1), lambda x: {table}), '')"
 
 
+def reverse(rules: dict[str, str]) -> dict[str, str]:
+    return {target: source for source, target in rules.items()}
+
+
 def profile_sql(step: int) -> str:
     overs = ", ".join(f"count(*) FILTER (WHERE length(text) > {k}) AS over_{k}" for k in (1024, 512, 256))
     shares = ", ".join(f"round(over_{k} * {step} * 100.0::DOUBLE / n, 6) AS percent_over_{k}" for k in (1024, 512, 256))
@@ -402,8 +406,9 @@ SELECT doc_id, string_agg(label, ',' ORDER BY label) AS negatives FROM negs GROU
         "pad_truncate": f"""SELECT doc_id, 512::BIGINT AS n_ids, least(len(ids), 512)::BIGINT AS n_real,
   md5(array_to_string(list_concat(ids[1:512], list_transform(range(greatest(0, 512 - len(ids))), lambda x: 0)), ' ')) AS ids_md5
 FROM (SELECT doc_id, {IDS} AS ids FROM documents)""",
-        "byte_rewrite": f"""SELECT doc_id, (length(h) // 2)::BIGINT AS n_tokens, md5(h) AS tokens_md5, TRUE AS round_trip
-FROM (SELECT doc_id, {rewrite('d', catalog.MERGE)} AS h FROM (SELECT doc_id, {rewrite(HEX, catalog.DECOMPOSE)} AS d FROM documents))""",
+        "byte_rewrite": f"""SELECT doc_id, (length(h) // 2)::BIGINT AS n_tokens, md5(h) AS tokens_md5,
+  {rewrite(rewrite('h', reverse(catalog.MERGE)), reverse(catalog.DECOMPOSE))} = {HEX} AS round_trip
+FROM (SELECT doc_id, text, {rewrite('d', catalog.MERGE)} AS h FROM (SELECT doc_id, text, {rewrite(HEX, catalog.DECOMPOSE)} AS d FROM documents))""",
         "failing_scorer": """SELECT doc_id, text IS NULL OR length(text) % 20 = 0 AS failed,
   CASE WHEN length(text) % 20 = 0 THEN 'ValueError: cannot read ' || length(text) || ' characters' END AS error,
   CASE WHEN text IS NULL OR length(text) % 20 = 0 THEN ''

@@ -2,11 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from langmill.functions import text
-from langmill.operators import byte_tokens
+from langmill.operators import byte_rules, byte_tokens
 
 
 def greedy(tokens, rules):
@@ -80,3 +81,59 @@ def test_tokenise_pads_and_masks(spark):
     assert got == {1: ([100, 101, 1, 0], [1, 1, 1, 0]), 2: ([100, 101, 102, 103], [1, 1, 1, 1])}
     free = {r.id: len(r.attention_mask) for r in byte_tokens.tokenise(df).collect()}
     assert free == {1: 3, 2: 7}
+
+
+def rule_table(spark, rules):
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(rules.items())], byte_rules.RULES)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_rules_of_a_table_equal_greedy_search(spark, seed, monkeypatch):
+    monkeypatch.setattr(byte_rules, "BLOCK", 100)
+    rng = random.Random(seed)
+    byte = lambda: f"{rng.randint(0x60, 0x63):02x}"
+    rules = {" ".join(byte() for _ in range(rng.randint(1, 5))): " ".join(byte() for _ in range(rng.randint(0, 3))) for _ in range(30)}
+    inputs = [[byte() for _ in range(rng.randint(0, 60))] for _ in range(300)] + [None, []]
+    df = spark.createDataFrame([(i, None if x is None else bytes.fromhex("".join(x)).decode()) for i, x in enumerate(inputs)], "i int, t string")
+    step = byte_rules.automaton(rule_table(spark, rules))
+    for r in byte_rules.rewritten(df.repartition(4), "t", [step], "out").collect():
+        assert (None if r.out is None else bytes(r.out)) == (None if inputs[r.i] is None else bytes.fromhex("".join(x for x in greedy(inputs[r.i], rules) if x)))
+
+
+def test_rule_tables_round_trip(spark):
+    decompose, merge = {"c3 a4": "01 61", "c3 b6": "01 6f"}, {"01 61": "02", "74 68": "03", "74 68 65": "04"}
+    tables = rule_table(spark, decompose), rule_table(spark, merge)
+    texts = ["the äther", "öä", "", "plain 😀", None, "th" * 700_000, "the", "the"]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "i int, t string, _row string")
+    rows = byte_rules.decode(byte_rules.encode(df, "t", *tables), "bytes", *tables).collect()
+    assert sorted((r.i, r.decoded) for r in rows) == list(enumerate(texts))
+    want = {i: greedy(greedy([f"{b:02x}" for b in t.encode()], decompose), merge) for i, t in enumerate(texts[:4])}
+    assert {r.i: [f"{b:02x}" for b in r.bytes] for r in rows if r.i < 4} == want
+    assert byte_rules.encode(df.limit(0), "t", *tables).count() == 0
+
+
+def test_later_rules_win_and_stray_bytes_are_left_out(spark):
+    rules = spark.createDataFrame([(2, "61", "7a"), (1, "61", "79"), (3, None, "00"), (4, "62", None)], byte_rules.RULES)
+    df = spark.createDataFrame([("aab",)], "t string")
+    assert bytes(byte_rules.rewritten(df, "t", [byte_rules.automaton(rules)], "x").first().x) == b"zzb"
+    nothing = spark.createDataFrame([], byte_rules.RULES)
+    stray = spark.createDataFrame([(bytes([0xFF, 0x61, 0xC3]),)], "b binary")
+    assert byte_rules.decode(stray, "b", nothing, nothing).first().decoded == "a"
+
+
+def test_cost_does_not_grow_with_the_rules():
+    """A hundred thousand rules: the steps down the tree are those of the bytes that match."""
+    rng = random.Random(5)
+    rules = {bytes(rng.randrange(256) for _ in range(rng.randint(3, 6))): b"!" for _ in range(100_000)}
+    data = np.frombuffer(bytes(rng.randrange(256) for _ in range(200_000)), dtype=np.uint8)
+    visited = []
+
+    class Counting(byte_rules.Automaton):
+        def step(self, node, byte):
+            visited.append(len(node))
+            return super().step(node, byte)
+
+    own = Counting(list(rules.items()))
+    visited.clear()
+    out, cuts = own.rewrite(data, np.array([0, len(data)]))
+    assert sum(visited) < 5 * len(data) and len(out) == cuts[-1] <= len(data)

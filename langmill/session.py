@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
 
@@ -32,8 +34,38 @@ def shared_dir(spark: SparkSession) -> str:
     return current.rstrip("/")
 
 
+_collecting: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("collecting", default=None)
+
+
 def staging_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/langmill/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/langmill/{name}-{uuid.uuid4().hex}"
+    if (collected := _collecting.get()) is not None:
+        collected.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def collect_staged():
+    """List of the paths that are staged inside the block, for ``release`` when their reader is written."""
+    paths: list[str] = []
+    token = _collecting.set(paths)
+    try:
+        yield paths
+    finally:
+        _collecting.reset(token)
+
+
+def release(df: DataFrame, paths: list[str]) -> list[str]:
+    """Remove the staged tables that ``df`` does not read; returns those that it does."""
+    if not paths:
+        return []
+    files = df.inputFiles()
+    # Names end in a random id, so a folder's name is enough whatever the scheme before it.
+    read = [path for path in paths if any(f"/{path.rsplit('/', 1)[1]}/" in file for file in files)]
+    for path in paths:
+        if path not in read:
+            drop_staged(df.sparkSession, path)
+    return read
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from langmill.functions import labelsets, text as text_fn
 from langmill.operators import labels as label_ops, seeds
 from langmill.session import stage
+from langmill.sources import splits
 
 CORPUS_SCHEMA = "text string, language string, source string, __index_level_0__ bigint"
 SLIDE_SCHEMA = "text string, languages array<string>, original string, id string"
@@ -54,6 +55,14 @@ def bcms_items(spark: SparkSession, path: str, codes: dict[str, str] = seeds.BCM
     return raw.select(labelsets.map_all(F.split("codes", ","), codes).alias("gold"), "text")
 
 
+def large_bcms_items(spark: SparkSession, path: str, codes: dict[str, str] = seeds.BCMS_CODES) -> DataFrame:
+    """Rows of ``bcms_items`` from files that are read by many tasks each, line breaks within quotes included."""
+    options = {"sep": "\t", "quote": '"', "escape": '"', "maxCharsPerColumn": "-1"}
+    row = F.from_csv("value", "codes string, text string", options)
+    raw = splits.tsv_records(spark, path).select(row.alias("row")).select("row.codes", "row.text")
+    return raw.select(labelsets.map_all(F.split("codes", ","), codes).alias("gold"), "text")
+
+
 # --- sectioned sets --------------------------------------------------------------------------
 
 def _is_object(node):
@@ -129,6 +138,27 @@ def read_sections(spark: SparkSession, path: str, strict: bool = True) -> DataFr
     return sections(raw)
 
 
+def read_large_sections(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """Rows of ``read_sections`` from documents of any size: a document is read by many tasks.
+
+    Sections of other depths than two and three are left out, as there. Brackets and strings are checked, commas are not.
+    """
+    found = splits.json_instances(spark, path, strict).where(F.size("keys").between(2, 3))
+    parsed = found.withColumn("instance", F.from_json("value", INSTANCE_SCHEMA))
+    l2 = F.array_join(F.slice("keys", 2, 2), "/")
+    return parsed.select(
+        F.get("keys", F.lit(0)).alias("l1"), l2.alias("l2"), F.col("pos").cast("int").alias("pos"),
+        F.col("instance.text").alias("text"), F.col("instance.label").alias("gold"),
+    )
+
+
+def large_instances_at_any_depth(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """Rows of ``instances_at_any_depth`` from documents of any size, in three scans whatever the depth."""
+    found = splits.json_instances(spark, path, strict).where(F.size("keys") > 0)
+    parsed = found.select(F.from_json("value", INSTANCE_SCHEMA).alias("i"))
+    return parsed.select(F.col("i.text").alias("text"), F.col("i.label").alias("gold"))
+
+
 def instances_at_any_depth(raw: DataFrame, value: str = "value") -> DataFrame:
     """(text, gold) of all instances, whatever the nesting of their sections.
 

@@ -190,6 +190,29 @@ def nested_sections(spark, folder):
     )
 
 
+def large_sections(spark, folder):
+    """Turns as sectioned JSON documents, one per task (odd conversations two levels deep, even ones three), read back in blocks."""
+    raw = table(spark, folder, "conversations")
+    turn = F.col("turn").cast("string")
+    items = raw.select(
+        F.col("role").alias("l1"), F.when(F.col("conv_id") % 2 == 1, turn).otherwise(F.concat(F.lit("part/"), turn)).alias("l2"),
+        "text", F.array(F.lit("eng_Latn")).alias("gold"),
+    )
+    path = staging_path(spark, "large-sections")
+    writers.write_sections(items, path)
+    back = readers.read_large_sections(spark, path)
+    return back.groupBy("l1", "l2", F.md5(F.encode("text", "UTF-8")).alias("digest")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("gold")).alias("n_labels"))
+
+
+def quoted_tsv(spark, folder):
+    """Documents as TSV with line breaks in quoted fields, read back in blocks: how often each text has each label."""
+    rows = table(spark, folder, "documents").where("text IS NOT NULL AND lang IS NOT NULL").select(F.array("lang").alias("codes"), "text")
+    path = staging_path(spark, "quoted-tsv")
+    writers.write_bcms(rows, path)
+    back = readers.large_bcms_items(spark, path, LANGUAGES)
+    return back.groupBy(F.array_join("gold", ",").alias("gold"), F.md5(F.encode("text", "UTF-8")).alias("digest")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def confusion_long(spark, folder):
     return confusion.confusion(single_predictions(spark, folder))
 
@@ -600,6 +623,8 @@ QUERIES: dict[str, Query] = {
     "section_report": section_report,
     "instance_dump": instance_dump,
     "nested_sections": nested_sections,
+    "large_sections": large_sections,
+    "quoted_tsv": quoted_tsv,
     "confusion_long": confusion_long,
     "single_accuracy": single_accuracy,
     "confusion_multilabel": confusion_multilabel,

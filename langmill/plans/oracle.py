@@ -298,6 +298,10 @@ SELECT section, count(*) AS n_items, round(avg(CASE WHEN {LOOSE} THEN 1.0::DOUBL
         "nested_sections": """SELECT role AS l1, CASE WHEN conv_id % 2 = 1 THEN turn::VARCHAR ELSE 'part/' || turn END AS l2, count(*) AS n,
   sum(length(line))::BIGINT AS n_chars, sum(pos)::BIGINT AS pos_sum, count(*) AS n_labels
 FROM (SELECT *, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM conversations) GROUP BY 1, 2""",
+        "large_sections": """SELECT role AS l1, CASE WHEN conv_id % 2 = 1 THEN turn::VARCHAR ELSE 'part/' || turn END AS l2, md5(text) AS digest,
+  count(*) AS n, count(*) AS n_labels FROM conversations GROUP BY 1, 2, 3""",
+        "quoted_tsv": f"""SELECT CASE lang {' '.join(f"WHEN '{code}' THEN '{label}'" for code, label in sorted(catalog.LANGUAGES.items()))} END AS gold,
+  md5(text) AS digest, count(*) AS n FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL GROUP BY 1, 2""",
         "confusion_long": f"WITH {SINGLE} SELECT gold, pred, count(*) AS n FROM single WHERE pred IS NOT NULL GROUP BY gold, pred",
         "single_accuracy": f"WITH {SINGLE} SELECT round(avg(CASE WHEN pred = gold THEN 1.0::DOUBLE ELSE 0 END), 6) AS accuracy FROM single",
         "confusion_multilabel": f"""WITH {DOC_ITEMS},

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,3 +55,52 @@ def write_run(result: DataFrame, path: str, mode: str = "overwrite") -> None:
 def write_by_source(summary: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Summaries of several result files, one folder per input."""
     summary.write.mode(mode).partitionBy("source").csv(path)
+
+
+def _document(batches):
+    """Lines of one JSON document over the sorted rows (keys, instance) of a task."""
+    path, lines = [], []
+
+    def close(depth):
+        """Close what is open below the first ``depth`` keys."""
+        marks = ["]"] + ["}"] * (len(path) - 1 - depth) if path else []
+        del path[depth:]
+        return "".join(marks)
+
+    first = True
+    for batch in batches:
+        lines = ["{"] if first and batch.num_rows else []
+        first = first and not batch.num_rows
+        for keys, instance in zip(batch.column("keys").to_pylist(), batch.column("instance").to_pylist()):
+            if keys == path:
+                lines.append("," + instance)
+                continue
+            same = 0
+            while same < min(len(keys), len(path)) - 1 and keys[same] == path[same]:
+                same += 1
+            begun = bool(path)
+            end = close(same) + ("," if begun else "")
+            lines.append(end + ":{".join(json.dumps(key) for key in keys[same:]) + ":[" + instance)
+            path.extend(keys[same:])
+        yield pa.RecordBatch.from_pydict({"value": pa.array(lines, pa.string())})
+    if path:
+        yield pa.RecordBatch.from_pydict({"value": pa.array([close(0) + "}"], pa.string())})
+
+
+def write_sections(items: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Sectioned JSON documents from (l1, l2, text, gold), one per task; ``l2/l3`` becomes two levels.
+
+    A section with many items is spread over the documents of many tasks.
+    """
+    keys = F.concat(F.array("l1"), F.split("l2", "/", 2))
+    rows = items.select(keys.alias("keys"), F.to_json(F.struct("text", F.col("gold").alias("label"))).alias("instance"))
+    rows.sortWithinPartitions("keys").mapInArrow(_document, "value string").write.mode(mode).text(path)
+
+
+def write_bcms(items: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Headerless TSV from (codes, text): comma-joined codes, quoted text with its line breaks."""
+    rows = items.select(F.array_join("codes", ",").alias("codes"), "text")
+    rows.write.mode(mode).csv(
+        path, sep="\t", quote='"', escape='"', quoteAll=True, emptyValue="", header=False,
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+    )

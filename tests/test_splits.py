@@ -9,7 +9,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from langmill.sources import readers, splits
+from langmill.sources import readers, splits, writers
 
 
 @pytest.fixture
@@ -113,3 +113,17 @@ def test_quotes_at_line_ends():
     assert not splits.quoted_after('a\t"b"', False) and splits.quoted_after('a\t"b', False)
     assert splits.quoted_after('b"" c', True) and not splits.quoted_after('b""" c"', True)
     assert not splits.quoted_after('a "b', False) and splits.quoted_after('x"\t"', True)
+
+
+def test_written_sections_and_tsv(spark, tmp_path, small_blocks):
+    rows = [(l1, l2, f"{l1} {l2} {i}\n\"x", ["a"]) for l1 in ("n", 'q"') for l2 in ("1", "p/1", "p/2", "p/2/3") for i in range(7)]
+    items = spark.createDataFrame(rows, "l1 string, l2 string, text string, gold array<string>")
+    for frame, name in ((items.coalesce(1), "one"), (items.repartition(5), "five"), (items.limit(0), "none")):
+        writers.write_sections(frame, str(tmp_path / name))
+    for name in ("one", "five"):
+        got = readers.read_large_sections(spark, str(tmp_path / name)).drop("pos").collect()
+        assert sorted(map(tuple, got)) == sorted(rows)
+        assert readers.read_sections(spark, str(tmp_path / name), strict=False).count() == len(rows)
+    assert readers.read_large_sections(spark, str(tmp_path / "none")).count() == 0
+    writers.write_bcms(items.select(F.array(F.lit("sr"), F.lit("bs")).alias("codes"), "text"), str(tmp_path / "tsv"))
+    assert sorted(r.text for r in readers.large_bcms_items(spark, str(tmp_path / "tsv")).collect()) == sorted(r[2] for r in rows)

@@ -434,6 +434,27 @@ def line_predictions(spark, folder):
     )
 
 
+def named_predictions(spark, folder):
+    """Lines of all texts as a tree of files by language, scored into one file of predictions per input file and read back.
+
+    ``n_unnamed`` counts the lines in files whose name no input file asks for.
+    """
+    rows = table(spark, folder, "documents").where("text IS NOT NULL AND lang IS NOT NULL")
+    tree, out = staging_path(spark, "line-tree"), staging_path(spark, "named-predictions")
+    rows.select("lang", F.explode(F.split("text", "\n")).alias("value")).write.partitionBy("lang").text(tree)
+    lines = readers.text_tree(spark, tree, blocks=True)
+    writers.write_named_predictions(predicted_lines(lines), out)
+    file = F.url_decode(F.col("_metadata.file_path"))
+    raw = spark.read.text(out).select("value", F.regexp_replace(F.substring_index(file, "/", -1), r"\.part-\d+$", "").alias("name"))
+    back = readers.parse_predictions(raw).groupBy("name", F.array_join("pred", ",").alias("pred")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+    inputs = spark.read.text(tree).select(F.element_at(F.split(F.url_decode(F.col("_metadata.file_path")), "/"), -1).alias("part"), "lang").distinct()
+    known = inputs.select(F.concat(F.lit("lang="), "lang", F.lit("-"), "part").alias("name"), F.lit(True).alias("known"))
+    lang = F.regexp_extract("name", "^lang=(.*?)-part-", 1)
+    return back.join(known, "name", "left").groupBy(lang.alias("lang"), "pred").agg(
+        F.sum("n").alias("n_lines"), F.sum("chars").alias("n_chars"), F.sum(F.when(F.col("known"), 0).otherwise(F.col("n"))).alias("n_unnamed"))
+
+
 def predicted_lines(df: DataFrame) -> DataFrame:
     return scoring.predict(df, lexicon_scorer(), THRESHOLD)
 
@@ -647,6 +668,7 @@ QUERIES: dict[str, Query] = {
     "texts_by_language": texts_by_language,
     "dense_index": dense_index,
     "line_predictions": line_predictions,
+    "named_predictions": named_predictions,
     "ngram_df": ngram_df,
     "tfidf_weights": tfidf_weights,
     "synthetic_random": _synthetic_part("random"),

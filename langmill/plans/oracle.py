@@ -379,6 +379,9 @@ FROM (WITH {INDEXED} SELECT * FROM idx, n_docs)""",
         "line_predictions": f"""WITH {predicted('''SELECT row_number() OVER () AS id, text FROM (
     SELECT trim(unnest(string_split(text, chr(10))), ' ' || chr(9) || chr(13)) AS text FROM documents) WHERE text <> '' ''', "id, text")}
 SELECT array_to_string(pred, ',') AS pred, count(*) AS n_lines, sum(length(text))::BIGINT AS n_chars FROM pred GROUP BY 1""",
+        "named_predictions": f"""WITH {predicted('''SELECT row_number() OVER () AS id, text, lang FROM (
+    SELECT lang, trim(unnest(string_split(text, chr(10))), ' ' || chr(9) || chr(13)) AS text FROM documents WHERE lang IS NOT NULL) WHERE text <> '' ''', "id, text, lang")}
+SELECT lang, array_to_string(pred, ',') AS pred, count(*) AS n_lines, sum(length(text))::BIGINT AS n_chars, 0 AS n_unnamed FROM pred GROUP BY 1, 2""",
         "ngram_df": f"WITH {GRAMS} SELECT ngram, df FROM vocab",
         "tfidf_weights": f"""WITH {GRAMS},
 raw AS (

@@ -187,13 +187,14 @@ def text_lines(spark: SparkSession, path: str) -> DataFrame:
     return clean_lines(spark.read.text(path))
 
 
-def text_tree(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
-    """(file, dir, name, text) for the lines of all matching files below ``path``."""
+def text_tree(spark: SparkSession, path: str, glob: str = "*.txt", blocks: bool = False) -> DataFrame:
+    """(file, dir, name, text) for the lines of all matching files below ``path``; ``blocks`` adds where the block of a line starts."""
     raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
-    located = raw.select("value", F.url_decode(F.col("_metadata.file_path")).alias("file"))
+    block = [F.col("_metadata.file_block_start").alias("block")] if blocks else []
+    located = raw.select("value", F.url_decode(F.col("_metadata.file_path")).alias("file"), *block)
     parts = F.split("file", "/")
     return clean_lines(located).select(
-        "file", F.element_at(parts, -2).alias("dir"), F.element_at(parts, -1).alias("name"), "text"
+        "file", F.element_at(parts, -2).alias("dir"), F.element_at(parts, -1).alias("name"), "text", *["block"] * blocks
     )
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from langmill.operators import confusion
+from langmill.sources.named_files import write_named
 
 
 def prediction_lines(scored: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -27,6 +28,24 @@ def write_prediction_tree(scored: DataFrame, path: str, mode: str = "overwrite")
     prediction_lines(named, ["file"]).write.mode(mode).partitionBy("file").text(path)
 
 
+def write_named_predictions(scored: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """One file ``<dir>-<name>`` per input file of ``text_tree(..., blocks=True)``, its lines in their order.
+
+    An input that was read in several blocks gives numbered parts. ``scored`` should not have been shuffled.
+    """
+    named = scored.select(F.concat_ws("-", "dir", "name").alias("_name"), F.col("file").alias("source"), "block", "text", "pred")
+    lines = prediction_lines(named, ["_name", "source", "block"])
+    write_named(lines.withColumnRenamed("_name", "name"), path, mode)
+
+
+def write_named_summaries(summary: DataFrame, path: str, order: list[str], mode: str = "overwrite") -> None:
+    """One CSV file per input result file, named like it, rows sorted by ``order``. A summary has few rows a file."""
+    columns = [c for c in summary.columns if c != "source"]
+    rows = summary.repartition("source").sortWithinPartitions("source", *order)
+    lines = rows.select(F.col("source").alias("name"), "source", F.lit(0).alias("block"), F.to_csv(F.struct(*columns)).alias("value"))
+    write_named(lines, path, mode)
+
+
 def write_metrics(metrics: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Rows ``metric,label,score``."""
     metrics.select("metric", "label", "score").write.mode(mode).csv(path)

@@ -459,6 +459,20 @@ def predicted_lines(df: DataFrame) -> DataFrame:
     return scoring.predict(df, lexicon_scorer(), THRESHOLD)
 
 
+# Letters of other alphabets that are spelled like the Latin ones in their place.
+ALPHABETS = {"hebrew": ("bglmnrs", "בגלמנרס"), "arabic": ("bfkmnrl", "بفكمنرل"), "devanagari": ("bgmnrst", "बगमनरसत"), "kana": ("aeiou", "あエいオう")}
+
+
+def spelled_alphabets(spark, folder):
+    """Documents with some letters written in one of four alphabets, by their id, spelled in ASCII again."""
+    rows = table(spark, folder, "documents").where("text IS NOT NULL").select("doc_id", "text")
+    written = F.col("text")
+    for i, (latin, other) in enumerate(ALPHABETS.values()):
+        written = F.when(F.col("doc_id") % len(ALPHABETS) == i, F.translate("text", latin, other)).otherwise(written)
+    spelled = text_fn.transliterate(written)
+    return rows.select("doc_id", F.md5(F.encode(spelled, "UTF-8")).alias("digest"), F.length(spelled).cast("long").alias("n_chars"))
+
+
 def _synthetic_part(kind: str) -> Query:
     def query(spark, folder):
         docs = documents(spark, folder).select("doc_id", "text", "lang")
@@ -674,6 +688,7 @@ QUERIES: dict[str, Query] = {
     "synthetic_random": _synthetic_part("random"),
     "synthetic_mixed": _synthetic_part("mixed"),
     "synthetic_transliterated": _synthetic_part("transliterated"),
+    "spelled_alphabets": spelled_alphabets,
     "extended_corpus": extended_corpus,
     "class_similarity": class_similarity,
     "negative_samples": negative_samples,

@@ -393,6 +393,8 @@ SELECT doc_id, ngram, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6)
         "synthetic_transliterated": f"""WITH {planned()}
 SELECT row_no, strip_accents(replace(text, 'ß', 'ss')) AS text, {LABEL} AS gold
 FROM (SELECT row_no, floor({u("'row'", 'row_no', '0')} * n)::BIGINT AS row_idx FROM plan, n_docs WHERE kind = 'transliterated') JOIN idx USING (row_idx)""",
+        "spelled_alphabets": """SELECT doc_id, md5(t) AS digest, length(t) AS n_chars
+FROM (SELECT doc_id, strip_accents(replace(text, 'ß', 'ss')) AS t FROM documents WHERE text IS NOT NULL)""",
         "extended_corpus": f"""WITH {mixed_sql('floor(n * 0.5)')}
 SELECT 'real' AS kind, 1::BIGINT AS n_labels, count(*) AS n FROM documents UNION ALL
 SELECT 'mixed', len(string_split(gold, ','))::BIGINT, count(*) FROM mixed GROUP BY 2 UNION ALL

@@ -248,3 +248,13 @@ def test_text_functions(spark):
 def test_counts_of_empty_input(spark):
     empty = spark.createDataFrame([], "pred array<string>, gold array<string>")
     assert contingency.contingency(empty).count() == 0
+
+
+def test_transliterate_alphabets(spark):
+    spelled = {
+        "שלום עולם": "shlvm `vlm", "مرحبا، ٣": "mrhba, 3", "پنج گل": "pnj gl", "नमस्ते १": "nmste 1", "বাংলা": "baanlaa", "தமிழ்": "tmilll",
+        "한국어 값": "hangugeo gabs", "ひらがな カタカナー": "hiragana katakana-", "漢字 ok": "漢字 ok", "𝔸 кот": "𝔸 kot", "": "", "a b": "a b",
+    }
+    df = spark.createDataFrame([(k, v) for k, v in spelled.items()], "t string, want string")
+    rows = df.select("t", "want", text.transliterate(F.col("t")).alias("x"), text.transliterate(F.col("t"), "drop").alias("dropped")).collect()
+    assert [(r.t, r.x) for r in rows] == [(r.t, r.want) for r in rows] and all(r.dropped.isascii() for r in rows)

@@ -459,18 +459,22 @@ def predicted_lines(df: DataFrame) -> DataFrame:
     return scoring.predict(df, lexicon_scorer(), THRESHOLD)
 
 
-# Letters of other alphabets that are spelled like the Latin ones in their place.
-ALPHABETS = {"hebrew": ("bglmnrs", "בגלמנרס"), "arabic": ("bfkmnrl", "بفكمنرل"), "devanagari": ("bgmnrst", "बगमनरसत"), "kana": ("aeiou", "あエいオう")}
+# Letters of other alphabets that are spelled like the Latin letters in their place, the first of each like two.
+ALPHABETS = {
+    "hebrew": ("ts", "צ", "bglmnrs", "בגלמנרס"), "arabic": ("sh", "ش", "bfkmnrl", "بفكمنرل"), "devanagari": ("th", "थ", "bgmnrst", "बगमनरसत"),
+    "kana": ("na", "な", "aeiou", "あエいオう"), "hangul": ("na", "나", "", ""),
+}
 
 
 def spelled_alphabets(spark, folder):
-    """Documents with some letters written in one of four alphabets, by their id, spelled in ASCII again."""
+    """Documents with some letters written in one of five alphabets, by their id, spelled in ASCII again."""
     rows = table(spark, folder, "documents").where("text IS NOT NULL").select("doc_id", "text")
     written = F.col("text")
-    for i, (latin, other) in enumerate(ALPHABETS.values()):
-        written = F.when(F.col("doc_id") % len(ALPHABETS) == i, F.translate("text", latin, other)).otherwise(written)
-    spelled = text_fn.transliterate(written)
-    return rows.select("doc_id", F.md5(F.encode(spelled, "UTF-8")).alias("digest"), F.length(spelled).cast("long").alias("n_chars"))
+    for i, (two, letter, latin, other) in enumerate(ALPHABETS.values()):
+        text = F.translate(F.replace("text", F.lit(two), F.lit(letter)), latin, other)
+        written = F.when(F.col("doc_id") % len(ALPHABETS) == i, text).otherwise(written)
+    spelled = rows.select("doc_id", text_fn.transliterate(written).alias("spelled"))
+    return spelled.select("doc_id", F.md5(F.encode("spelled", "UTF-8")).alias("digest"), F.length("spelled").cast("long").alias("n_chars"))
 
 
 def _synthetic_part(kind: str) -> Query:

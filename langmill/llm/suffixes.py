@@ -165,12 +165,14 @@ def _original(key: bytes) -> tuple[bytes, int]:
     return left[::-1] + right, len(left)
 
 
-def repeats(entries: list[tuple[bytes, int, int]], length: int):
-    """Per key of one sorted range: which strings occur twice, and strings whose group may go on in another range.
+def repeats(entries: list[tuple[bytes, int, int]], length: int, low: bytes = b"", high: bytes = b""):
+    """Per key of one sorted range: which strings occur twice, and strings that may occur in another range too.
 
     A key that occurs twice repeats all its strings. Other keys share strings only with keys that share the
-    bytes ahead of the anchor, and those stand together; a group at either end of the range is left open:
-    each of its strings is given once, as ``(key, prints, offsets)``.
+    bytes ahead of the anchor, and those stand together. The range holds keys from border ``low`` to below ``high``
+    (empty: no border). No key behind a border shares more bytes with a key than the border does, so a string
+    is left open only if the border holds all its bytes behind the anchor: such strings are given once, as
+    ``(key, prints, offsets)``.
     """
     begin, out, open_ = 0, [], []
     while begin < len(entries):
@@ -180,8 +182,9 @@ def repeats(entries: list[tuple[bytes, int, int]], length: int):
         group = entries[begin:end]
         contexts = [_original(k)[0] for k, _, _ in group]
         found = [np.full(len(c) - length + 1, n > 1) for c, (_, n, _) in zip(contexts, group)]
-        edge = begin == 0 or end == len(entries)
-        if (len(group) > 1 or edge) and not all(n > 1 for _, n, _ in group) or edge:
+        reach = [max(shared(k, low), shared(k, high)) for k, _, _ in group] if begin == 0 or end == len(entries) else []
+        edge = max(reach, default=0) >= AHEAD
+        if edge or len(group) > 1 and not all(n > 1 for _, n, _ in group):
             prints = _window_prints(contexts, length)
             values, at, inverse, times = np.unique(np.concatenate(prints), return_index=True, return_inverse=True, return_counts=True)
             cuts = np.cumsum([len(p) for p in prints])[:-1]
@@ -189,6 +192,8 @@ def repeats(entries: list[tuple[bytes, int, int]], length: int):
             if edge:  # strings found twice here are settled, and the first of them speaks for all in other ranges
                 once = np.zeros(len(inverse), dtype=bool)
                 once[at] = True
+                behind = [np.arange(len(p)) + length - _original(k)[1] for (k, _, _), p in zip(group, prints)]
+                once &= np.concatenate([b <= r for b, r in zip(behind, reach)])
                 open_ += [(k, p[o], np.flatnonzero(o)) for (k, _, _), p, o in zip(group, prints, np.split(once, cuts)) if o.any()]
         out += [(k, f) for (k, _, _), f in zip(group, found) if f.any()]
         begin = end
@@ -221,9 +226,9 @@ def remove_repeats(docs: DataFrame, *, length: int = 400, id_col: str = "doc_id"
     sorted_ = _with_anchors(rows, marked).mapInArrow(_runs(splits, length), _RUNS)
     sorted_ = staged(sorted_, "suffixes-runs")
     runs = sorted_.where("range is not null").select("range", "prefix", "counts", "tails")
-    classes = staged(runs.groupBy("range").applyInArrow(_merge(length), _CLASSES), "suffixes-classes")
-    again = classes.where("print is null").select("one", "two", "intervals")
-    open_ = classes.where("print is not null").select("one", "two", F.col("print"), F.col("offset"))
+    classes = staged(runs.groupBy("range").applyInArrow(_merge(splits, length), _CLASSES), "suffixes-classes")
+    again = classes.where("open is null").select("one", "two", "intervals")
+    open_ = classes.where("open is not null").select("one", "two", F.inline("open"))
     many = open_.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print")
     more = open_.join(many, "print").select("one", "two", F.array(F.struct(F.col("offset").alias("from"), (F.col("offset") + 1).alias("to"))).alias("intervals"))
     intervals = again.union(more).groupBy("one", "two").agg(F.flatten(F.collect_list("intervals")).alias("intervals"))
@@ -235,7 +240,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 400, id_col: str = "doc_id"
 
 
 _RUNS = f"{ROW} long, first int, one long, two long, range int, prefix array<int>, counts array<int>, tails array<binary>"
-_CLASSES = "one long, two long, intervals array<struct<from:int,to:int>>, print long, offset int"
+_CLASSES = "one long, two long, intervals array<struct<from:int,to:int>>, open array<struct<print:long,offset:int>>"
 _CUT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
@@ -318,24 +323,23 @@ def _runs(splits: list[bytes], length: int):
     return sort
 
 
-def _merge(length: int):
-    def merge(table: pa.Table) -> pa.Table:
+def _merge(splits: list[bytes], length: int):
+    interval = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
+    string = pa.struct([("print", pa.int64()), ("offset", pa.int32())])
+
+    def merge(key: tuple, table: pa.Table) -> pa.Table:
+        at = key[0].as_py()
         columns = [table.column(c).to_pylist() for c in ("prefix", "tails", "counts")]
         entries = list(merged([Run(*x) for x in zip(*columns)]))
-        found, open_ = repeats(entries, length)
-        names = [_class(k) for k, _ in found]
-        left = [_class(k) for k, _, _ in open_]
-        size = [len(p) for _, p, _ in open_]
-        prints = np.concatenate([p for _, p, _ in open_]).astype(np.int64) if open_ else np.zeros(0, dtype=np.int64)
-        offset = np.concatenate([o for _, _, o in open_]).astype(np.int32) if open_ else np.zeros(0, dtype=np.int32)
-        kind = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
-        one = np.concatenate(([x[0] for x in names], np.repeat([x[0] for x in left], size))).astype(np.int64) if names or left else []
-        two = np.concatenate(([x[1] for x in names], np.repeat([x[1] for x in left], size))).astype(np.int64) if names or left else []
-        m = len(names)
+        found, open_ = repeats(entries, length, splits[at - 1] if at else b"", splits[at] if at < len(splits) else b"")
+        names = [_class(k) for k, *_ in [*found, *open_]]
+        strings = [pa.array([p.astype(np.int64) for _, p, _ in open_], pa.list_(pa.int64())).flatten(), pa.array([o.astype(np.int32) for *_, o in open_], pa.list_(pa.int32())).flatten()]
+        ends = pa.array(np.cumsum([0, *(len(p) for _, p, _ in open_)]), pa.int32())
+        lists = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(strings, fields=list(string)))
         return pa.table({
-            "one": pa.array(one, pa.int64()), "two": pa.array(two, pa.int64()),
-            "intervals": pa.concat_arrays([pa.array([_intervals(f) for _, f in found], kind), pa.nulls(len(prints), kind)]),
-            "print": pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(prints)]), "offset": pa.concat_arrays([pa.nulls(m, pa.int32()), pa.array(offset)]),
+            "one": pa.array([n[0] for n in names], pa.int64()), "two": pa.array([n[1] for n in names], pa.int64()),
+            "intervals": pa.concat_arrays([pa.array([_intervals(f) for _, f in found], interval), pa.nulls(len(open_), interval)]),
+            "open": pa.concat_arrays([pa.nulls(len(found), lists.type), lists]),
         })
 
     return merge

@@ -119,6 +119,43 @@ def test_byte_strings_around_one_passage_are_cut_into_ranges(spark, monkeypatch)
     assert {r.doc_id: r.n_removed for r in got} == {i: len(g) for i, g in gone.items()} and len(gone[300]) >= 480
 
 
+def test_byte_strings_do_not_depend_on_the_ranges(spark, monkeypatch):
+    rows = copies(5)
+    get = lambda: {r.doc_id: (r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.remove_repeats(table(spark, rows)).collect()}
+    want = get()
+    monkeypatch.setattr(suffixes, "RANGE", 2)
+    monkeypatch.setattr(suffixes, "OVER", 1)
+    assert get() == want and sum(n for n, *_ in want.values()) > 1000
+
+
+def test_strings_stay_open_only_where_a_border_holds_them():
+    draw = random.Random(8)
+    some = lambda n: bytes(draw.choice(b"abcdefgh") for _ in range(n))
+    passage, length, end = some(300), 120, suffixes._END
+    keys = sorted({passage[: draw.randint(90, 300)] + some(60) + end + some(draw.randint(0, 80)) for _ in range(60)} | {some(150) + end + some(9) for _ in range(40)})
+    same = [0, *(suffixes.shared(a, b) for a, b in zip(keys, keys[1:]))]
+    entries = [(k, 1, n) for k, n in zip(keys, same)]
+    strings = lambda k: [suffixes._original(k)[0][i : i + length] for i in range(len(suffixes._original(k)[0]) - length + 1)]
+    cuts = [20, 50, 80]
+    parts = list(zip([0, *cuts], [*cuts, len(keys)]))
+    places = collections.defaultdict(set)
+    for n, (a, b) in enumerate(parts):
+        for k in keys[a:b]:
+            left = suffixes._original(k)[1]
+            for i, x in enumerate(strings(k)):
+                if i <= left <= i + length - suffixes.AHEAD:  # strings that could have chosen this anchor
+                    places[(k[: i + length - left], x)].add(n)
+    many = 0
+    for n, (a, b) in enumerate(parts):
+        low, high = keys[a] if a else b"", keys[b] if b < len(keys) else b""
+        _, open_ = suffixes.repeats(entries[a:b], length, low, high)
+        given = {strings(k)[i] for k, _, at in open_ for i in at.tolist()}
+        needed = {x for (_, x), where in places.items() if n in where and len(where) > 1}
+        assert needed <= given
+        many += len(given)
+    assert 0 < many < sum(len(strings(k)) for k in keys) / 2
+
+
 def test_loser_tree_merges_and_counts():
     draw = random.Random(4)
     keys = [[bytes(draw.choice(b"ab") for _ in range(draw.randint(0, 6))) for _ in range(draw.randint(0, 30))] for _ in range(7)]

@@ -28,6 +28,8 @@ AHEAD = 100
 RUN_BYTES, RANGE = 64 << 20, 20_000
 #: Sampled suffixes for each key range and for each task that orders them.
 OVER, ORDERED = 32, 1_000
+#: Numbers of bytes before an anchor by which ranges first compare their open strings.
+LEVELS = np.array([0, 4, 8, *range(16, 1 << 12, 16), *(2**k for k in range(12, 31))])
 #: Between the suffix and the reversed bytes before it; no byte of UTF-8.
 _END = b"\xff"
 
@@ -165,6 +167,17 @@ def _original(key: bytes) -> tuple[bytes, int]:
     return left[::-1] + right, len(left)
 
 
+def _by_mark(key: bytes, prints: np.ndarray, offsets: np.ndarray):
+    """``(mark, prints, offsets)`` of a context's strings by their level, the largest that is at most their bytes before the anchor.
+
+    The mark is a print of the bytes ahead of the anchor and as many before it as the level: equal strings have equal marks.
+    """
+    back = key.split(_END, 1)[1]
+    level = np.searchsorted(LEVELS, len(back) - offsets, side="right") - 1
+    for n in np.unique(level):
+        yield _class(key[:AHEAD] + _END + back[: LEVELS[n]])[0], prints[level == n], offsets[level == n]
+
+
 def repeats(entries: list[tuple[bytes, int, int]], length: int, low: bytes = b"", high: bytes = b""):
     """Per key of one sorted range: which strings occur twice, and strings that may occur in another range too.
 
@@ -172,7 +185,7 @@ def repeats(entries: list[tuple[bytes, int, int]], length: int, low: bytes = b""
     bytes ahead of the anchor, and those stand together. The range holds keys from border ``low`` to below ``high``
     (empty: no border). No key behind a border shares more bytes with a key than the border does, so a string
     is left open only if the border holds all its bytes behind the anchor: such strings are given once, as
-    ``(key, prints, offsets)``.
+    ``(key, mark, prints, offsets)``.
     """
     begin, out, open_ = 0, [], []
     while begin < len(entries):
@@ -194,7 +207,7 @@ def repeats(entries: list[tuple[bytes, int, int]], length: int, low: bytes = b""
                 once[at] = True
                 behind = [np.arange(len(p)) + length - _original(k)[1] for (k, _, _), p in zip(group, prints)]
                 once &= np.concatenate([b <= r for b, r in zip(behind, reach)])
-                open_ += [(k, p[o], np.flatnonzero(o)) for (k, _, _), p, o in zip(group, prints, np.split(once, cuts)) if o.any()]
+                open_ += [(k, *m) for (k, _, _), p, o in zip(group, prints, np.split(once, cuts)) if o.any() for m in _by_mark(k, p[o], np.flatnonzero(o))]
         out += [(k, f) for (k, _, _), f in zip(group, found) if f.any()]
         begin = end
     return out, open_
@@ -227,8 +240,10 @@ def remove_repeats(docs: DataFrame, *, length: int = 400, id_col: str = "doc_id"
     sorted_ = staged(sorted_, "suffixes-runs")
     runs = sorted_.where("range is not null").select("range", "prefix", "counts", "tails")
     classes = staged(runs.groupBy("range").applyInArrow(_merge(splits, length), _CLASSES), "suffixes-classes")
-    again = classes.where("open is null").select("one", "two", "intervals")
-    open_ = classes.where("open is not null").select("one", "two", F.inline("open"))
+    again = classes.where("mark is null").select("one", "two", "intervals")
+    open_ = classes.where("mark is not null").select("one", "two", "range", "mark", "open")
+    across = open_.groupBy("mark").agg(F.min("range").alias("low"), F.max("range").alias("high")).where("low < high").select("mark")
+    open_ = open_.join(across, "mark").select("one", "two", F.inline("open"))
     many = open_.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print")
     more = open_.join(many, "print").select("one", "two", F.array(F.struct(F.col("offset").alias("from"), (F.col("offset") + 1).alias("to"))).alias("intervals"))
     intervals = again.union(more).groupBy("one", "two").agg(F.flatten(F.collect_list("intervals")).alias("intervals"))
@@ -240,7 +255,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 400, id_col: str = "doc_id"
 
 
 _RUNS = f"{ROW} long, first int, one long, two long, range int, prefix array<int>, counts array<int>, tails array<binary>"
-_CLASSES = "one long, two long, intervals array<struct<from:int,to:int>>, open array<struct<print:long,offset:int>>"
+_CLASSES = "one long, two long, intervals array<struct<from:int,to:int>>, range int, mark long, open array<struct<print:long,offset:int>>"
 _CUT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
@@ -333,12 +348,13 @@ def _merge(splits: list[bytes], length: int):
         entries = list(merged([Run(*x) for x in zip(*columns)]))
         found, open_ = repeats(entries, length, splits[at - 1] if at else b"", splits[at] if at < len(splits) else b"")
         names = [_class(k) for k, *_ in [*found, *open_]]
-        strings = [pa.array([p.astype(np.int64) for _, p, _ in open_], pa.list_(pa.int64())).flatten(), pa.array([o.astype(np.int32) for *_, o in open_], pa.list_(pa.int32())).flatten()]
-        ends = pa.array(np.cumsum([0, *(len(p) for _, p, _ in open_)]), pa.int32())
+        strings = [pa.array([p.astype(np.int64) for *_, p, _ in open_], pa.list_(pa.int64())).flatten(), pa.array([o.astype(np.int32) for *_, o in open_], pa.list_(pa.int32())).flatten()]
+        ends = pa.array(np.cumsum([0, *(len(p) for *_, p, _ in open_)]), pa.int32())
         lists = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(strings, fields=list(string)))
         return pa.table({
             "one": pa.array([n[0] for n in names], pa.int64()), "two": pa.array([n[1] for n in names], pa.int64()),
             "intervals": pa.concat_arrays([pa.array([_intervals(f) for _, f in found], interval), pa.nulls(len(open_), interval)]),
+            "range": pa.array([at] * len(names), pa.int32()), "mark": pa.array([None] * len(found) + [m for _, m, _, _ in open_], pa.int64()),
             "open": pa.concat_arrays([pa.nulls(len(found), lists.type), lists]),
         })
 

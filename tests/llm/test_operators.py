@@ -131,8 +131,11 @@ def test_byte_strings_do_not_depend_on_the_ranges(spark, monkeypatch):
 def test_strings_stay_open_only_where_a_border_holds_them():
     draw = random.Random(8)
     some = lambda n: bytes(draw.choice(b"abcdefgh") for _ in range(n))
-    passage, length, end = some(300), 120, suffixes._END
-    keys = sorted({passage[: draw.randint(90, 300)] + some(60) + end + some(draw.randint(0, 80)) for _ in range(60)} | {some(150) + end + some(9) for _ in range(40)})
+    passage, length, end = some(300), 400, suffixes._END
+    lefts = [some(250) for _ in range(3)]
+    left = lambda: draw.choice(lefts)[: draw.randint(100, 250)] + some(draw.randint(0, 20))
+    right = lambda: (passage[: draw.randint(90, 300)] + some(300))[: draw.randint(310, 400)]
+    keys = sorted({right() + end + left() for _ in range(80)} | {some(390) + end + left() for _ in range(20)})
     same = [0, *(suffixes.shared(a, b) for a, b in zip(keys, keys[1:]))]
     entries = [(k, 1, n) for k, n in zip(keys, same)]
     strings = lambda k: [suffixes._original(k)[0][i : i + length] for i in range(len(suffixes._original(k)[0]) - length + 1)]
@@ -145,14 +148,18 @@ def test_strings_stay_open_only_where_a_border_holds_them():
             for i, x in enumerate(strings(k)):
                 if i <= left <= i + length - suffixes.AHEAD:  # strings that could have chosen this anchor
                     places[(k[: i + length - left], x)].add(n)
-    many = 0
+    many, marked = 0, collections.defaultdict(lambda: collections.defaultdict(set))
     for n, (a, b) in enumerate(parts):
         low, high = keys[a] if a else b"", keys[b] if b < len(keys) else b""
         _, open_ = suffixes.repeats(entries[a:b], length, low, high)
-        given = {strings(k)[i] for k, _, at in open_ for i in at.tolist()}
+        given = {strings(k)[i] for k, _, _, at in open_ for i in at.tolist()}
+        for k, mark, _, at in open_:
+            for i in at.tolist():
+                marked[k[: i + length - suffixes._original(k)[1]], strings(k)[i]][n].add(mark)
         needed = {x for (_, x), where in places.items() if n in where and len(where) > 1}
         assert needed <= given
         many += len(given)
+    assert all(len(set.union(*where.values())) == 1 for where in marked.values())  # equal strings have equal marks
     assert 0 < many < sum(len(strings(k)) for k in keys) / 2
 
 

@@ -68,6 +68,22 @@ def release(df: DataFrame, paths: list[str]) -> list[str]:
     return read
 
 
+@contextlib.contextmanager
+def freeing_shuffles(spark: SparkSession):
+    """Inside the block Spark removes the shuffle files of a query when that query ends.
+
+    For queries that write a table: what is read later is the table, and a lost executor costs a re-read of it.
+    Without it shuffle files wait for a collection of garbage in the driver.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to shared storage and continue from the written table.
 

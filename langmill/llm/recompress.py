@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from langmill.llm import spans
 from langmill.llm.table import ROW, bucketed, pick, staged
+from langmill.session import collect_staged, release
 
 ROUNDS = 13
 _U = np.uint64
@@ -144,11 +145,13 @@ def remove_repeats(docs: DataFrame, *, width: int = 20, id_col: str = "doc_id",
                      pa.array((to - block.cut[row]).astype(np.int32)), pa.array(name.astype(np.int64))], ["id", ROW, "from", "to", "name"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    long = staged(rows.mapInArrow(find_spans, f"id {kind}, {ROW} long, from int, to int, name long"), "recompress-spans")
+    with collect_staged() as once:
+        long = staged(rows.mapInArrow(find_spans, f"id {kind}, {ROW} long, from int, to int, name long"), "recompress-spans")
     place = F.struct("id", ROW, "from")
     earliest = long.groupBy("name").agg(F.min(place).alias("place"), F.count("*").alias("times")).where("times > 1").drop("times")
     again = long.join(earliest, "name").where(place != F.col("place"))
     again = staged(again.groupBy(ROW).agg(F.collect_list(F.struct("from", "to")).alias("spans")), "recompress-again")
+    release(again, once)
     left = rows.join(again, ROW, "left")
 
     def find_anchors(batches):
@@ -163,7 +166,8 @@ def remove_repeats(docs: DataFrame, *, width: int = 20, id_col: str = "doc_id",
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(ROW).take(pa.array(a + row)), pa.array((at - block.cut[row]).astype(np.int32)), pa.array(print_[at].astype(np.int64))], [ROW, "at", "print"])
 
-    anchors = staged(left.select(ROW, "text", "spans").mapInArrow(find_anchors, f"{ROW} long, at int, print long"), "recompress-anchors")
+    with collect_staged() as once:
+        anchors = staged(left.select(ROW, "text", "spans").mapInArrow(find_anchors, f"{ROW} long, at int, print long"), "recompress-anchors")
     repeated = anchors.groupBy("print").count().where("count > 1").select("print")
     marked = anchors.join(repeated, "print").groupBy(ROW).agg(F.collect_list("at").alias("anchors"))
 
@@ -185,6 +189,7 @@ def remove_repeats(docs: DataFrame, *, width: int = 20, id_col: str = "doc_id",
 
     windows = left.join(marked, ROW).select("id", ROW, "text", "spans", "anchors")
     windows = staged(windows.mapInArrow(find_windows, f"id {kind}, {ROW} long, from int, one long, two long"), "recompress-windows")
+    release(windows, once)
     earliest = windows.groupBy("one", "two").agg(F.min(place).alias("place"), F.count("*").alias("times")).where("times > 1").drop("times")
     short = windows.join(earliest, ["one", "two"]).where(place != F.col("place"))
     short = short.groupBy(ROW).agg(F.collect_list("from").alias("windows"))

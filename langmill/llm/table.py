@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from langmill.session import staging_path
+from langmill.session import freeing_shuffles, staging_path
 
 #: Name of the row key that ``keyed`` adds. Documents are told apart by it, never by their ids, so null
 #: and repeated ids keep their rows.
@@ -26,7 +26,8 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and go on from the written table, so a lost executor costs a re-read."""
     path = staging_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with freeing_shuffles(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -41,7 +42,8 @@ def bucketed(df: DataFrame, name: str) -> DataFrame:
     rows = df.withColumn(ROW, F.monotonically_increasing_id()).repartition(n, ROW)
     table = fresh(f"langmill_{name}")
     writer = rows.write.bucketBy(n, ROW).sortBy(ROW).option("compression", "zstd").format("parquet")
-    writer.option("path", staging_path(df.sparkSession, f"{name}-buckets")).saveAsTable(table)
+    with freeing_shuffles(df.sparkSession):
+        writer.option("path", staging_path(df.sparkSession, f"{name}-buckets")).saveAsTable(table)
     return df.sparkSession.table(table)
 
 

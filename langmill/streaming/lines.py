@@ -26,7 +26,10 @@ def line_stream(spark: SparkSession, path: str, files_per_trigger: int | None =
 
 
 def table_stream(spark: SparkSession, path: str, glob: str) -> DataFrame:
-    """Rows of parquet files as they are added to a folder."""
+    """Rows of parquet files as they are added to a folder. A folder of the name ``glob`` in it is a table of many files, all read."""
+    inner = f"{path}/{glob}"
+    if _store(spark, path).isDirectory(_path(spark, inner)):
+        return spark.readStream.schema(spark.read.parquet(inner).schema).parquet(inner)
     schema = spark.read.option("pathGlobFilter", glob).parquet(path).schema
     return spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(path)
 

@@ -1,11 +1,13 @@
 """Jaccard join of documents on word shingles: T-occurrence search in the way of DivideSkip.
 
-A document's shingles are ordered from rare to frequent. Its rare end makes the short lists of an
-inverted index: documents that reach the required overlap T meet in at least ``HITS`` of them, because
-all other lists together, the long ones, are ``T - HITS`` short of it. Short lists are merged by the
-shuffle; the long ones are never read: a candidate's shingles are probed by binary search instead.
-
-Candidates carry parities: one bit for each hash bucket of shingles, telling whether the bucket holds an odd
+A set's shingles are dealt by hash to K buckets. Sets of like sizes that link differ in at most D shingles, so they agree
+on T = K - D of their buckets or more. An inverted index lists the sets by the content of a bucket; its lists are short, since
+all shingles of a bucket have to be the same, and are merged by the shuffle. The long lists, those of empty buckets, are
+never read: K leaves room for as many, so linked sets still meet in a short one. A set with more empty buckets
+than that has those lists too. What is left of the count is probed by binary search in a candidate's shingles.
+
+K belongs to a range of sizes; a set is listed for its own range and the next one, where larger sets that it can link
+with are. Candidates carry parities: one bit for each hash bucket of shingles, telling whether the bucket holds an odd
 number. Two sets differ in at least as many shingles as their parities differ in bits, so a pair whose
 parities differ too much needs no probe. Lists of large groups are not turned into pairs. In a few turns,
 every member of a list is compared with one of its lists' leaders of the turn; only members that are then
@@ -21,12 +23,10 @@ from pyspark.sql import functions as F
 
 from langmill.llm import spans
 from langmill.llm.components import components
-from langmill.llm.table import pick, spread_small, staged, tasks
+from langmill.llm.table import pick, spread_small, staged
 
-HITS = 2
-#: Counters of the frequency sketch; it decides the order of shingles, never the result.
-BUCKETS = 1 << 18
-_PART = 1 << 12
+#: Buckets that may be empty besides one in so many, of those that linked sets can differ in.
+SPARE, SPARE_SHARE = 3, 10
 #: Turns in which lists choose new leaders; what they leave apart is paired, so it decides only the cost.
 MOST_TURNS = 3
 #: Words of 64 parity bits that a set carries.
@@ -74,50 +74,55 @@ def _parities(gram: np.ndarray, owner: np.ndarray, n: int) -> list[pa.Array]:
     return [pa.array(np.ascontiguousarray(packed[:, i])) for i in range(len(_PARITIES))]
 
 
-def _sketch(rows: DataFrame, words: int) -> np.ndarray:
-    """Occurrences by hash bucket of all shingles of all documents."""
-    def count(batches):
-        total = np.zeros(BUCKETS, dtype=np.int64)
-        for batch in batches:
-            for _, _, gram, _ in shingle_sets(batch.column("text"), words):
-                total += np.bincount((gram % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
-        parts = total.reshape(-1, _PART)
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["part", "counts"])
+def _ranges(percent: int, most: int) -> np.ndarray:
+    """Smallest sizes of the ranges up to that of ``most``, and of two more: sets of a range link with those of the next at most."""
+    low = [1]
+    while low[-1] <= most:
+        low.append(100 * low[-1] // percent + 1)
+    return np.array([*low, 100 * low[-1] // percent + 1], dtype=np.int64)
 
-    def add(batches):
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for part, counts in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist()):
-                total[part] = total.get(part, 0) + np.frombuffer(counts, dtype=np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(total, pa.int32()), pa.array([t.tobytes() for t in total.values()], pa.binary())], ["part", "counts"])
 
-    parts = rows.select("text").mapInArrow(count, "part int, counts binary").repartition(min(tasks(rows), 64), "part").mapInArrow(add, "part int, counts binary")
-    found = {r["part"]: np.frombuffer(r["counts"], dtype=np.int64) for r in parts.collect()}  # BUCKETS counters
-    return np.concatenate([found.get(i, np.zeros(_PART, dtype=np.int64)) for i in range(BUCKETS // _PART)])
+def _contents(gram: np.ndarray, owner: np.ndarray, n: np.ndarray, percent: int, above: int) -> tuple[np.ndarray, np.ndarray]:
+    """Names of the buckets of every row and their offsets by row, for the range of its size (or ``above`` that).
+
+    Empty buckets are left out, but for rows with more of them than linked sets need. Rows that link with their equals only have none.
+    """
+    low = _ranges(percent, int(n.max(initial=0)))
+    place = np.searchsorted(low, n, side="right") - 1 + above
+    apart = (100 - percent) * 2 * (low[place + 1] - 1) // (100 + percent)
+    spare = SPARE + apart // SPARE_SHARE
+    size = np.where(100 * n >= percent * (n + 1), apart + 1 + spare, 0)
+    first = np.concatenate(([0], np.cumsum(size)))
+    inside = size[owner] > 0
+    gram, owner = gram[inside], owner[inside]
+    at = first[owner] + (spans.mix(gram, 31) % size[owner].astype(np.uint64)).astype(np.int64)
+    value = spans.mix(gram, 37)
+    # sums modulo 2 ** 64 by halves: each is exact in double precision
+    halves = [np.bincount(at, part.astype(np.float64), first[-1]).astype(np.uint64) for part in (value & np.uint64(0xFFFFFFFF), value >> np.uint64(32))]
+    row = np.repeat(np.arange(len(n)), size)
+    own = (np.arange(first[-1]) - first[row]).astype(np.uint64) * np.uint64(4096) + place[row].astype(np.uint64)
+    name = spans.mix(halves[0] + (halves[1] << np.uint64(32)) + spans.mix(own, 41), 43)
+    empty = np.bincount(at, minlength=first[-1]) == 0
+    short_of = np.bincount(row[empty], minlength=len(n)) > spare
+    kept = ~empty | short_of[row]
+    return name[kept].astype(np.int64), spans.per_row(row[kept], len(n))
 
 
 def index(rows: DataFrame, words: int, percent: int) -> DataFrame:
-    """Staged ``id, node, n, short`` and parities of every row: name and size of its set, and its rarest shingles."""
-    rank = np.floor(2 * np.log2(_sketch(rows, words) + 1)).astype(np.uint8)
-    rank = rows.sparkSession.sparkContext.broadcast(rank)
-
+    """Staged ``id, node, n, own, next`` and parities of every row: name and size of its set, names of its buckets for both ranges."""
     def build(batches):
         for batch in batches:
             for a, b, gram, cut in shingle_sets(batch.column("text"), words):
                 n = np.diff(cut)
                 owner = np.repeat(np.arange(b - a), n)
-                order = np.lexsort((gram, rank.value[(gram % np.uint64(BUCKETS)).astype(np.int64)], owner))
-                need = -(-percent * n // 100)
-                taken = np.where(100 * n >= percent * (n + 1), np.minimum(n - need + HITS, n), 0)  # smaller sets link with their equals only
-                place = np.arange(len(gram)) - np.repeat(cut[:-1], n)
-                short = gram[order][place < np.repeat(taken, n)].astype(np.int64)
-                lists = spans.lists(short, np.concatenate(([0], np.cumsum(taken))), pa.int64())
+                lists = [spans.lists(*_contents(gram, owner, n, percent, above), pa.int64()) for above in (0, 1)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(a, b - a), pa.array(_names(gram, cut)), pa.array(n), lists, *_parities(gram, owner, b - a)],
-                    ["id", "node", "n", "short", *_PARITIES])
+                    [batch.column("id").slice(a, b - a), pa.array(_names(gram, cut)), pa.array(n), *lists, *_parities(gram, owner, b - a)],
+                    ["id", "node", "n", "own", "next", *_PARITIES])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return staged(rows.mapInArrow(build, f"id {kind}, node long, n long, short array<long>, " + ", ".join(f"{c} long" for c in _PARITIES)), "jaccard-index")
+    fields = f"id {kind}, node long, n long, own array<long>, next array<long>, " + ", ".join(f"{c} long" for c in _PARITIES)
+    return staged(rows.mapInArrow(build, fields), "jaccard-index")
 
 
 def _compatible(a: str, b: str, percent: int):
@@ -177,11 +182,13 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
 def _links(rows: DataFrame, indexed: DataFrame, words: int, percent: int) -> DataFrame:
     linked = F.expr(f"100 * same >= {percent} * total")
     carried = ["n", *_PARITIES]
-    nodes = indexed.where(F.size("short") > 0).groupBy("node").agg(*[F.first(c).alias(c) for c in ("short", *carried)])
+    nodes = indexed.where(F.size("own") > 0).groupBy("node").agg(*[F.first(c).alias(c) for c in ("own", "next", *carried)])
     nodes = staged(nodes, "jaccard-nodes")
-    lists = nodes.select("node", F.explode("short").alias("shingle"))
-    shared = lists.groupBy("shingle").agg(F.count("*").alias("members")).where("members > 1").select("shingle")
-    lists = staged(lists.join(shared, "shingle").join(nodes.select("node", "n"), "node"), "jaccard-shared")
+    lists = nodes.select("node", "n", F.explode("own").alias("bucket"), F.lit(True).alias("own"))
+    lists = lists.union(nodes.select("node", "n", F.explode("next").alias("bucket"), F.lit(False).alias("own")))
+    # sets that are both of the range below have met in their own
+    shared = lists.groupBy("bucket").agg(F.count("*").alias("members"), F.max("own").alias("any")).where("members > 1 and any").select("bucket")
+    lists = staged(lists.join(shared, "bucket"), "jaccard-shared")
     texts = _texts(rows, lists.select("node").distinct(), words)
     sets = nodes.select("node", *carried)
     one, two = (sets.toDF(x, *[f"{c}_{x}" for c in carried]) for x in "ab")
@@ -189,27 +196,27 @@ def _links(rows: DataFrame, indexed: DataFrame, words: int, percent: int) -> Dat
     for turn in range(MOST_TURNS):
         # every member that is still apart meets one leader of its lists, the same for all lists where it can be
         order = F.struct(F.xxhash64("node", F.lit(turn)), "node", "n")
-        leaders = lists.groupBy("shingle").agg(F.min(order).alias("leader")).select("shingle", F.col("leader.node").alias("b"), F.col("leader.n").alias("n_b"))
-        pairs = lists.join(leaders, "shingle").where("node != b").where(_compatible("n", "n_b", percent)).select(F.col("node").alias("a"), "b").distinct()
+        leaders = lists.groupBy("bucket").agg(F.min(order).alias("leader")).select("bucket", F.col("leader.node").alias("b"), F.col("leader.n").alias("n_b"))
+        pairs = lists.join(leaders, "bucket").where("node != b").where(_compatible("n", "n_b", percent)).select(F.col("node").alias("a"), "b")
+        pairs = pairs.groupBy("a").agg(F.min(F.struct(F.xxhash64("b", F.lit(turn)), "b")).alias("leader")).select("a", F.col("leader.b").alias("b"))
         pairs = pairs.join(one, "a").join(two, "b").where(_alike("a", "b", percent)).select("a", "b")
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        pairs = pairs.groupBy("a").agg(F.min(F.struct(F.xxhash64("b", F.lit(turn)), "b")).alias("leader")).select("a", F.col("leader.b").alias("b"))
         found = _verified(pairs, texts, words)
         new = found.where(linked).select("a", "b")
         checked = found.select("a", "b") if checked is None else checked.union(found.select("a", "b"))
         links = new if links is None else links.union(new)
         roots = components(links)
-        apart = lists.select("shingle", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = apart.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("shingle")
-        lists = staged(apart.join(mixed, "shingle"), "jaccard-apart")
+        apart = lists.select("bucket", "node", "n", "own").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        mixed = apart.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("bucket")
+        lists = staged(apart.join(mixed, "bucket"), "jaccard-apart")
         if not new.head(1) or not lists.head(1):
             break
     # members that no leader has joined: pairs of different components that their parities do not keep apart
     lists = staged(lists.join(nodes.select("node", *_PARITIES), "node"), "jaccard-left")
-    one, two = (lists.toDF(*[c if c == "shingle" else f"{c}_{x}" for c in lists.columns]) for x in "ab")
-    far = (one.join(two, "shingle").where("root_a < root_b").where(_compatible("n_a", "n_b", percent)).where(_alike("a", "b", percent))
-           .groupBy("node_a", "node_b").count().where(F.col("count") >= HITS).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
+    one, two = (lists.toDF(*[c if c == "bucket" else f"{c}_{x}" for c in lists.columns]) for x in "ab")
+    far = (one.join(two, "bucket").where("root_a < root_b and (own_a or own_b)").where(_compatible("n_a", "n_b", percent)).where(_alike("a", "b", percent))
+           .select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct())
     far = far.join(checked.union(checked.select("b", "a")), ["a", "b"], "left_anti")
     return links.union(_verified(far, texts, words).where(linked).select("a", "b"))
 

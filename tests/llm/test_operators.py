@@ -337,3 +337,35 @@ def test_compressed_addresses_and_academic_titles(spark):
     shape = r"from [0-9a-f]{4}:[0-9a-f]{3}::[0-9a-f] and ::[0-9a-f]{4}:\d\d\.\d\.\d\.\d, [0-9a-f]{4}::[A-F0-9a-f]{2} to ::[0-9a-f]+; Dr\. \w+ met Prof\. Dr\. \w+, not :: or 10:30"
     assert re.fullmatch(shape, got[1][0]) and got[1][1] == 6 and got[2] == ("at 12:30:15 x", 0)
     assert {r.value for r in made.collect()} == {"2001:db8::1", "::ffff:10.1.2.3", "fe80::A1", "::1", "Miller", "Weber"}
+
+
+def test_jaccard_buckets_of_linked_sets_meet():
+    """Sets that link share a bucket name that one of them has for its own size, whatever their sizes."""
+    draw = np.random.default_rng(5)
+    for percent in (50, 80, 90):
+        for n in (5, 9, 10, 11, 40, 77, 300, 2500):
+            for _ in range(12):
+                one = draw.integers(0, 1 << 63, n).astype(np.uint64)
+                lost = int(draw.integers(0, n - -(-percent * n // 100) + 1))
+                more = 100 * (n - lost) // percent - n  # as many as the link allows
+                two = np.concatenate((one[lost:], draw.integers(0, 1 << 63, more).astype(np.uint64)))
+                assert 100 * (n - lost) >= percent * (n + more)
+                if 100 * min(n, len(two)) < percent * (min(n, len(two)) + 1):
+                    continue
+                sizes = np.array([n, len(two)])
+                names = []
+                for above in (0, 1):
+                    name, cut = jaccard._contents(np.concatenate((one, two)), np.repeat([0, 1], sizes), sizes, percent, above)
+                    names.append([set(name[cut[i] : cut[i + 1]]) for i in (0, 1)])
+                (own_one, own_two), (next_one, next_two) = names
+                assert own_one & own_two or own_one & next_two or next_one & own_two
+
+
+def test_jaccard_pairs_do_not_grow_with_common_shingles(spark):
+    """Long texts that share a rare passage, and nothing else, are no candidates of one another."""
+    draw = random.Random(9)
+    passage = " ".join(f"p{i}" for i in range(6))
+    rows = [(i, " ".join([passage] + [f"w{draw.randrange(10**6)}" for _ in range(1500)])) for i in range(40)]
+    docs = table(spark, rows).withColumnsRenamed({"doc_id": "id"})
+    lists = jaccard.index(docs, 3, 90).select("node", F.explode(F.concat("own", "next")).alias("bucket"))
+    assert lists.groupBy("bucket").agg(F.countDistinct("node").alias("n")).where("n > 1").count() == 0

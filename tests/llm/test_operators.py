@@ -369,3 +369,21 @@ def test_jaccard_pairs_do_not_grow_with_common_shingles(spark):
     docs = table(spark, rows).withColumnsRenamed({"doc_id": "id"})
     lists = jaccard.index(docs, 3, 90).select("node", F.explode(F.concat("own", "next")).alias("bucket"))
     assert lists.groupBy("bucket").agg(F.countDistinct("node").alias("n")).where("n > 1").count() == 0
+
+
+def test_quality_uses_all_labels(spark):
+    """Labels without documents change nothing, however many there are; the threshold is that of a plain search."""
+    rows = [(i * 100, f"{'good fine' if i % 3 else 'bad junk'} " + " ".join(f"w{(i * k) % 97}" for k in range(60 + i % 7))) for i in range(200)]
+    own = spark.createDataFrame([(i, int(i // 100 % 3 > 0), 0) for i, _ in rows], "doc_id long, quality int, toxic int")
+    others = spark.range(21_000).selectExpr("id * 100 + 1 as doc_id", "1 as quality", "0 as toxic")
+    docs = table(spark, rows)
+    few, many = quality.fit(docs, own, buckets=1 << 10), quality.fit(docs, own.union(others), buckets=1 << 10)
+    assert (few.ratio == many.ratio).all() and few.threshold == many.threshold
+    draw = random.Random(4)
+    scores = [(draw.random() < 0.4 + v / 20, v / 8) for v in (draw.randrange(12) for _ in range(300))]
+    good, bad = [v for t, v in scores if t], [v for t, v in scores if not t]
+    edges = sorted({v for _, v in scores})
+    edges = [float("-inf"), *((a + b) / 2 for a, b in zip(edges, edges[1:])), float("inf")]
+    cost = lambda e: 5 * sum(v < e for v in good) / len(good) + sum(v >= e for v in bad) / len(bad)
+    assert quality._threshold(table(spark, scores, "trusted boolean, value double")) == min(edges, key=lambda e: (round(cost(e), 9), e))
+    assert quality._threshold(table(spark, [(True, 1.0)], "trusted boolean, value double")) == float("-inf")

@@ -15,6 +15,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from langmill.llm import edits, jaccard, mixing, neighbours, packing, pii, quality, recompress, suffixes, template, tokens
+from langmill.session import collect_staged
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ODD = [(9001, None), (9002, ""), (9003, " \n"), (9004, "one"), (None, "a null id"), (9006, "tie tie"), (9006, "tie tie")]
@@ -387,3 +388,17 @@ def test_quality_uses_all_labels(spark):
     cost = lambda e: 5 * sum(v < e for v in good) / len(good) + sum(v >= e for v in bad) / len(bad)
     assert quality._threshold(table(spark, scores, "trusted boolean, value double")) == min(edges, key=lambda e: (round(cost(e), 9), e))
     assert quality._threshold(table(spark, [(True, 1.0)], "trusted boolean, value double")) == float("-inf")
+
+
+def test_a_search_writes_every_scored_node_once(spark):
+    """Rounds add what they have scored; they do not write or join again what earlier rounds had."""
+    draw = np.random.default_rng(3)
+    vectors = spark.createDataFrame([(i, draw.standard_normal(6).tolist()) for i in range(700)], "vec_id long, embedding array<double>")
+    nodes = neighbours.nodes_of(neighbours.usable(vectors, "vec_id", "embedding"), 21)
+    asked = nodes.where("node < 5").select(F.col("node").alias("query_id"), F.col("v").alias("q"), F.col("node").alias("at"))
+    ring = nodes.select("node", F.explode(F.transform(F.array(F.lit(1), F.lit(7)), lambda k: (F.col("node") + k) % 700)).alias("to"), F.lit(0.0).alias("score"))
+    with collect_staged() as paths:
+        found = neighbours.search(asked, nodes, ring)
+    rows = [spark.read.parquet(p).count() for p in paths if "/neighbours-seen-" in p]
+    once = spark.read.parquet(*[p for p in paths if "/neighbours-seen-" in p]).select("query_id", "node").distinct().count()
+    assert len(rows) > 1 and sum(rows) == once and found.groupBy("query_id").count().where(f"count != {neighbours.BEAM}").count() == 0

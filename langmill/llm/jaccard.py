@@ -7,11 +7,13 @@ never read: K leaves room for as many, so linked sets still meet in a short one.
 than that has those lists too. What is left of the count is probed by binary search in a candidate's shingles.
 
 K belongs to a range of sizes; a set is listed for its own range and the next one, where larger sets that it can link
-with are. Candidates carry parities: one bit for each hash bucket of shingles, telling whether the bucket holds an odd
+with are. Lists go to the shuffle as blocks of numbers, once for each set and task, and only those that several sets share
+come back as rows. Candidates carry parities: one bit for each hash bucket of shingles, telling whether the bucket holds an odd
 number. Two sets differ in at least as many shingles as their parities differ in bits, so a pair whose
 parities differ too much needs no probe. Lists of large groups are not turned into pairs. In a few turns,
-every member of a list is compared with one of its lists' leaders of the turn; only members that are then
-still in different components are paired. No step loses a link between components.
+every member of a list meets a few leaders of the turn and is compared with the likest one that it is still apart from; only
+members that are then still in different components are paired, in the first list that both are in. No step loses a link
+between components.
 """
 
 from __future__ import annotations
@@ -23,14 +25,17 @@ from pyspark.sql import functions as F
 
 from langmill.llm import spans
 from langmill.llm.components import components
-from langmill.llm.table import pick, spread_small, staged
+from langmill.llm.table import pick, spread_small, staged, tasks
+from langmill.session import broadcast_if_small
 
 #: Buckets that may be empty besides one in so many, of those that linked sets can differ in.
 SPARE, SPARE_SHARE = 3, 10
-#: Turns in which lists choose new leaders; what they leave apart is paired, so it decides only the cost.
-MOST_TURNS = 3
+#: Turns in which lists choose new leaders, and leaders of a list; what they leave apart is paired, so they decide only the cost.
+MOST_TURNS, LEADERS = 3, 8
 #: Words of 64 parity bits that a set carries.
-_PARITIES = [f"parity{i}" for i in range(4)]
+_PARITIES = [f"parity{i}" for i in range(16)]
+#: Entries of lists that a task holds before it sends them, and entries that one group puts in order.
+HELD, MET = 1 << 21, 1 << 20
 
 
 def shingle_sets(texts: pa.Array, words: int):
@@ -82,16 +87,21 @@ def _ranges(percent: int, most: int) -> np.ndarray:
     return np.array([*low, 100 * low[-1] // percent + 1], dtype=np.int64)
 
 
+def _sizes(n: np.ndarray, percent: int, above: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Range, buckets that may be empty and number of buckets of every row, for the range of its size (or ``above`` that)."""
+    low = _ranges(percent, int(n.max(initial=0)))
+    place = np.searchsorted(low, n, side="right") - 1 + above
+    apart = (100 - percent) * 2 * (low[place + 1] - 1) // (100 + percent)
+    spare = SPARE + apart // SPARE_SHARE
+    return place, spare, np.where(100 * n >= percent * (n + 1), apart + 1 + spare, 0)
+
+
 def _contents(gram: np.ndarray, owner: np.ndarray, n: np.ndarray, percent: int, above: int) -> tuple[np.ndarray, np.ndarray]:
     """Names of the buckets of every row and their offsets by row, for the range of its size (or ``above`` that).
 
     Empty buckets are left out, but for rows with more of them than linked sets need. Rows that link with their equals only have none.
     """
-    low = _ranges(percent, int(n.max(initial=0)))
-    place = np.searchsorted(low, n, side="right") - 1 + above
-    apart = (100 - percent) * 2 * (low[place + 1] - 1) // (100 + percent)
-    spare = SPARE + apart // SPARE_SHARE
-    size = np.where(100 * n >= percent * (n + 1), apart + 1 + spare, 0)
+    place, spare, size = _sizes(n, percent, above)
     first = np.concatenate(([0], np.cumsum(size)))
     inside = size[owner] > 0
     gram, owner = gram[inside], owner[inside]
@@ -108,31 +118,98 @@ def _contents(gram: np.ndarray, owner: np.ndarray, n: np.ndarray, percent: int,
     return name[kept].astype(np.int64), spans.per_row(row[kept], len(n))
 
 
-def index(rows: DataFrame, words: int, percent: int) -> DataFrame:
-    """Staged ``id, node, n, own, next`` and parities of every row: name and size of its set, names of its buckets for both ranges."""
+def sets(rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """Staged ``id, node, n, listed`` and parities of every row: name and size of its set, number of its buckets for both ranges."""
     def build(batches):
         for batch in batches:
             for a, b, gram, cut in shingle_sets(batch.column("text"), words):
                 n = np.diff(cut)
-                owner = np.repeat(np.arange(b - a), n)
-                lists = [spans.lists(*_contents(gram, owner, n, percent, above), pa.int64()) for above in (0, 1)]
+                listed = sum(_sizes(n, percent, above)[2] for above in (0, 1))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(a, b - a), pa.array(_names(gram, cut)), pa.array(n), *lists, *_parities(gram, owner, b - a)],
-                    ["id", "node", "n", "own", "next", *_PARITIES])
+                    [batch.column("id").slice(a, b - a), pa.array(_names(gram, cut)), pa.array(n), pa.array(listed), *_parities(gram, np.repeat(np.arange(b - a), n), b - a)],
+                    ["id", "node", "n", "listed", *_PARITIES])
 
     kind = rows.schema["id"].dataType.simpleString()
-    fields = f"id {kind}, node long, n long, own array<long>, next array<long>, " + ", ".join(f"{c} long" for c in _PARITIES)
-    return staged(rows.mapInArrow(build, fields), "jaccard-index")
+    fields = f"id {kind}, node long, n long, listed long, " + ", ".join(f"{c} long" for c in _PARITIES)
+    return staged(rows.mapInArrow(build, fields), "jaccard-sets")
+
+
+def index(rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """``node, own, next``: names of the buckets for both ranges, once for each set and task; sets that link with their equals only have none."""
+    def build(batches):
+        seen: set[int] = set()
+        for batch in batches:
+            for _, _, gram, cut in shingle_sets(batch.column("text"), words):
+                node, n = _names(gram, cut), np.diff(cut)
+                first = np.sort(np.unique(node, return_index=True)[1])
+                new = np.zeros(len(n), dtype=bool)
+                new[[i for i in first.tolist() if node[i] not in seen]] = True
+                seen.update(node[new].tolist())
+                owner, n = np.repeat(np.arange(len(n)), n), np.where(new, n, 0)
+                lists = [spans.lists(*_contents(gram, owner, n, percent, above), pa.int64()) for above in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(node), *lists], ["node", "own", "next"]).filter(pa.array(new))
+
+    return rows.select("text").mapInArrow(build, "node long, own array<long>, next array<long>")
+
+
+def _dealt(indexed: DataFrame, parts: int) -> DataFrame:
+    """Entries of the lists as blocks of numbers, dealt to ``parts`` by list: ``part, own, bucket, node``."""
+    def flush(held: dict[str, list]):
+        for column, blocks in held.items():
+            bucket, node = (np.concatenate(x) for x in zip(*blocks))
+            part = (bucket.view(np.uint64) % np.uint64(parts)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            at, first = np.unique(part[order], return_index=True)
+            ends = np.append(first, len(order))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(at), pa.array([column == "own"] * len(at), pa.bool_()), *(spans.lists(x[order], ends, pa.int64()) for x in (bucket, node))],
+                ["part", "own", "bucket", "node"])
+
+    def deal(batches):
+        held, entries = {"own": [], "next": []}, 0
+        for batch in batches:
+            node = batch.column("node").to_numpy()
+            for column, blocks in held.items():
+                lists = batch.column(column)
+                blocks.append((lists.flatten().to_numpy(), np.repeat(node, lists.value_lengths().to_numpy())))
+                entries += len(blocks[-1][0])
+            if entries > HELD:
+                yield from flush(held)
+                held, entries = {"own": [], "next": []}, 0
+        if entries:
+            yield from flush(held)
+
+    return indexed.mapInArrow(deal, "part int, own boolean, bucket array<long>, node array<long>")
+
+
+def _met(table: pa.Table) -> pa.Table:
+    """``bucket, node, own`` of the lists of a part that hold several sets, one of them of the lists' own range at least."""
+    bucket, node = (table.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("bucket", "node"))
+    size = table.column("bucket").combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
+    own = np.repeat(table.column("own").to_numpy(), size)
+    order = np.lexsort((node, bucket))
+    bucket, node, own = bucket[order], node[order], own[order]
+    new = np.append(True, (bucket[1:] != bucket[:-1]) | (node[1:] != node[:-1]))[: len(bucket)]
+    bucket, node, own = bucket[new], node[new], own[new]
+    # sets that are both of the range below have met in their own
+    _, group, members = np.unique(bucket, return_inverse=True, return_counts=True)
+    kept = (members > 1) & (np.bincount(group, own, len(members)) > 0)
+    kept = kept[group]
+    return pa.table({"bucket": bucket[kept], "node": node[kept], "own": own[kept]})
 
 
 def _compatible(a: str, b: str, percent: int):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def _apart(a: str, b: str):
+    """Bits in which the parities of two sets differ."""
+    return sum((F.bit_count(F.col(f"{c}_{a}").bitwiseXOR(F.col(f"{c}_{b}"))) for c in _PARITIES), F.lit(0))
+
+
 def _alike(a: str, b: str, percent: int):
     """False only for sets whose parities differ in more bits than linked sets of their sizes can."""
-    apart = sum((F.bit_count(F.col(f"{c}_{a}").bitwiseXOR(F.col(f"{c}_{b}"))) for c in _PARITIES), F.lit(0))
-    return (100 + percent) * apart <= (100 - percent) * (F.col(f"n_{a}") + F.col(f"n_{b}"))
+    return (100 + percent) * _apart(a, b) <= (100 - percent) * (F.col(f"n_{a}") + F.col(f"n_{b}"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
@@ -168,10 +245,10 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
     of the minimum unless the component has no other. Extra columns are left out.
     """
     rows = spread_small(pick(docs, id=id_col, text=text_col))
-    indexed = index(rows, words, percent)
-    links = _links(rows, indexed, words, percent)
+    found = sets(rows, words, percent)
+    links = _links(rows, found, words, percent)
     roots = components(links)
-    named = indexed.select("id", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = found.select("id", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = staged(named, "jaccard-roots")
     least = named.where("n > 0").groupBy("root").agg(F.min("id").alias("component_id"))
     out = named.where("n > 0").join(least, "root").select("id", "n", "node", "component_id")
@@ -179,45 +256,45 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
     return out.withColumnsRenamed({"id": id_col, "n": "n_shingles"})
 
 
-def _links(rows: DataFrame, indexed: DataFrame, words: int, percent: int) -> DataFrame:
+def _links(rows: DataFrame, found: DataFrame, words: int, percent: int) -> DataFrame:
     linked = F.expr(f"100 * same >= {percent} * total")
     carried = ["n", *_PARITIES]
-    nodes = indexed.where(F.size("own") > 0).groupBy("node").agg(*[F.first(c).alias(c) for c in ("own", "next", *carried)])
-    nodes = staged(nodes, "jaccard-nodes")
-    lists = nodes.select("node", "n", F.explode("own").alias("bucket"), F.lit(True).alias("own"))
-    lists = lists.union(nodes.select("node", "n", F.explode("next").alias("bucket"), F.lit(False).alias("own")))
-    # sets that are both of the range below have met in their own
-    shared = lists.groupBy("bucket").agg(F.count("*").alias("members"), F.max("own").alias("any")).where("members > 1 and any").select("bucket")
-    lists = staged(lists.join(shared, "bucket"), "jaccard-shared")
-    texts = _texts(rows, lists.select("node").distinct(), words)
-    sets = nodes.select("node", *carried)
-    one, two = (sets.toDF(x, *[f"{c}_{x}" for c in carried]) for x in "ab")
+    nodes = staged(found.where("listed > 0").groupBy("node").agg(*[F.first(c).alias(c) for c in carried]), "jaccard-nodes")
+    parts = max(tasks(rows), (found.agg(F.sum("listed")).first()[0] or 0) // MET)
+    shared = _dealt(index(rows, words, percent), parts).groupBy("part").applyInArrow(_met, "bucket long, node long, own boolean")
+    lists = staged(staged(shared, "jaccard-shared").join(nodes.select("node", "n"), "node").withColumn("root", F.col("node")), "jaccard-lists")
+    texts = _texts(rows, staged(lists.select("node").distinct(), "jaccard-wanted"), words)
+    one, two = (nodes.toDF(x, *[f"{c}_{x}" for c in carried]) for x in "ab")
     links = checked = None
     for turn in range(MOST_TURNS):
-        # every member that is still apart meets one leader of its lists, the same for all lists where it can be
-        order = F.struct(F.xxhash64("node", F.lit(turn)), "node", "n")
-        leaders = lists.groupBy("bucket").agg(F.min(order).alias("leader")).select("bucket", F.col("leader.node").alias("b"), F.col("leader.n").alias("n_b"))
-        pairs = lists.join(leaders, "bucket").where("node != b").where(_compatible("n", "n_b", percent)).select(F.col("node").alias("a"), "b")
-        pairs = pairs.groupBy("a").agg(F.min(F.struct(F.xxhash64("b", F.lit(turn)), "b")).alias("leader")).select("a", F.col("leader.b").alias("b"))
-        pairs = pairs.join(one, "a").join(two, "b").where(_alike("a", "b", percent)).select("a", "b")
+        # every member meets the leaders of its lists, the same for all lists where it can be
+        slot, order = F.pmod(F.xxhash64(F.lit("slot"), "node", F.lit(turn)), F.lit(LEADERS)), F.struct(F.xxhash64("node", F.lit(turn)), "node", "n", "root", "own")
+        leaders = lists.groupBy("bucket", slot.alias("slot")).agg(F.min(order).alias("leader")).select("bucket", "leader.*").toDF("bucket", "order", "b", "n_b", "root_b", "own_b")
+        pairs = lists.join(leaders.drop("order"), "bucket").where("root != root_b and (own or own_b)").where(_compatible("n", "n_b", percent))
+        pairs = pairs.select(F.col("node").alias("a"), "b").distinct()
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
+        pairs = pairs.join(one, "a").join(two, "b").where(_alike("a", "b", percent)).select("a", "b", _apart("a", "b").alias("apart"))
+        pairs = pairs.groupBy("a").agg(F.min(F.struct("apart", F.xxhash64("b", F.lit(turn)), "b")).alias("leader")).select("a", F.col("leader.b").alias("b"))
         found = _verified(pairs, texts, words)
         new = found.where(linked).select("a", "b")
-        checked = found.select("a", "b") if checked is None else checked.union(found.select("a", "b"))
+        both = found.select("a", "b").union(found.select("b", "a"))
+        checked = both if checked is None else checked.union(both)
         links = new if links is None else links.union(new)
         roots = components(links)
-        apart = lists.select("bucket", "node", "n", "own").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        apart = lists.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         mixed = apart.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("bucket")
         lists = staged(apart.join(mixed, "bucket"), "jaccard-apart")
         if not new.head(1) or not lists.head(1):
             break
-    # members that no leader has joined: pairs of different components that their parities do not keep apart
-    lists = staged(lists.join(nodes.select("node", *_PARITIES), "node"), "jaccard-left")
+    # members that no leader has joined: pairs of different components that their parities do not keep apart, in their first list
+    inside = lists.groupBy("node", "own").agg(F.collect_list("bucket").alias("all"))
+    lists = staged(lists.join(inside, ["node", "own"]).join(nodes.select("node", *_PARITIES), "node"), "jaccard-left")
     one, two = (lists.toDF(*[c if c == "bucket" else f"{c}_{x}" for c in lists.columns]) for x in "ab")
-    far = (one.join(two, "bucket").where("root_a < root_b and (own_a or own_b)").where(_compatible("n_a", "n_b", percent)).where(_alike("a", "b", percent))
+    first = F.array_min(F.array_intersect("all_a", "all_b")) == F.col("bucket")
+    far = (one.join(two, "bucket").where("root_a < root_b and (own_a or own_b)").where(_compatible("n_a", "n_b", percent)).where(_alike("a", "b", percent)).where(first)
            .select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct())
-    far = far.join(checked.union(checked.select("b", "a")), ["a", "b"], "left_anti")
+    far = far.join(checked, ["a", "b"], "left_anti")
     return links.union(_verified(far, texts, words).where(linked).select("a", "b"))
 
 
@@ -228,5 +305,5 @@ def _texts(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             for a, b, gram, cut in shingle_sets(batch.column("text"), words):
                 yield pa.RecordBatch.from_arrays([pa.array(_names(gram, cut)), batch.column("text").slice(a, b - a)], ["node", "text"])
 
-    named = rows.select("text").mapInArrow(name, "node long, text string").join(wanted, "node", "left_semi")
+    named = rows.select("text").mapInArrow(name, "node long, text string").join(broadcast_if_small(wanted)[0], "node", "left_semi")
     return staged(named.groupBy("node").agg(F.first("text").alias("text")), "jaccard-texts")

@@ -372,6 +372,33 @@ def test_jaccard_pairs_do_not_grow_with_common_shingles(spark):
     assert lists.groupBy("bucket").agg(F.countDistinct("node").alias("n")).where("n > 1").count() == 0
 
 
+def test_jaccard_probes_do_not_grow_with_the_square_of_a_group(spark, monkeypatch):
+    """Near copies among unlike texts of the same base: each is compared with a few, and a pair comes from one list only."""
+    draw = random.Random(11)
+    base = [f"w{i}" for i in range(100)]
+    rows = [(i, " ".join(base[:-1] + [f"x{i}"])) for i in range(90)]
+    for i in range(90, 250):
+        words = list(base)
+        for k in draw.sample(range(100), 4):
+            words[k] = f"y{i}-{k}"
+        rows.append((i, " ".join(words)))
+    probed, verified = [], jaccard._verified
+    monkeypatch.setattr(jaccard, "_verified", lambda pairs, *more: probed.append(verified(pairs, *more)) or probed[-1])
+    got = jaccard.near_duplicates(table(spark, rows), words=3, percent=90).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i if i >= 90 else 0 for i, _ in rows}
+    assert sum(p.count() for p in probed) < 4 * len(rows)
+
+
+def test_jaccard_lists_hold_a_set_once(spark):
+    """Copies of a text add nothing to the lists of a task, and lists of one set alone never leave the group that orders them."""
+    copies_, other = [(i, " ".join(f"w{k}" for k in range(80))) for i in range(300)], [(300, " ".join(f"v{k}" for k in range(80)))]
+    docs = table(spark, copies_ + other).withColumnsRenamed({"doc_id": "id"}).coalesce(1)
+    lists = jaccard.index(docs, 3, 90)
+    assert lists.count() == lists.select("node").distinct().count() == 2
+    met = jaccard._dealt(lists, 5).groupBy("part").applyInArrow(jaccard._met, "bucket long, node long, own boolean")
+    assert met.count() == 0
+
+
 def test_quality_uses_all_labels(spark):
     """Labels without documents change nothing, however many there are; the threshold is that of a plain search."""
     rows = [(i * 100, f"{'good fine' if i % 3 else 'bad junk'} " + " ".join(f"w{(i * k) % 97}" for k in range(60 + i % 7))) for i in range(200)]

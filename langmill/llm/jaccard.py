@@ -35,7 +35,9 @@ MOST_TURNS, LEADERS = 3, 8
 #: Words of 64 parity bits that a set carries.
 _PARITIES = [f"parity{i}" for i in range(16)]
 #: Entries of lists that a task holds before it sends them, and entries that one group puts in order.
-HELD, MET = 1 << 21, 1 << 20
+HELD, MET = 1 << 20, 1 << 20
+#: Bytes of text and rows handled at once; a waiting worker keeps about the memory of its largest arrays.
+BLOCK, ROWS = 1 << 19, 1 << 10
 
 
 def shingle_sets(texts: pa.Array, words: int):
@@ -43,7 +45,7 @@ def shingle_sets(texts: pa.Array, words: int):
 
     A text with fewer words than a shingle is one shingle; one without words has none.
     """
-    for a, b, data, offsets in spans.blocks(texts):
+    for a, b, data, offsets in spans.blocks(texts, BLOCK):
         data = spans.lower_ascii(data)
         start, end, row = spans.words(data, offsets)
         word = spans.Prints(data).of(start, end)
@@ -73,9 +75,13 @@ def _names(gram: np.ndarray, cut: np.ndarray) -> np.ndarray:
 def _parities(gram: np.ndarray, owner: np.ndarray, n: int) -> list[pa.Array]:
     """One bit for each bucket of a row's shingles, set if the bucket holds an odd number of them."""
     width = 64 * len(_PARITIES)
-    bucket = (spans.mix(gram, 21) >> np.uint64(32)) % np.uint64(width)
-    odd = (np.bincount(owner * width + bucket.astype(np.int64), minlength=n * width) & 1).astype(np.uint8)
-    packed = np.packbits(odd.reshape(n, width), axis=1).view(np.int64)
+    bucket = ((spans.mix(gram, 21) >> np.uint64(32)) % np.uint64(width)).astype(np.int64)
+    packed = np.zeros((n, len(_PARITIES)), dtype=np.int64)
+    for first in range(0, n, ROWS):
+        end = min(first + ROWS, n)
+        a, b = np.searchsorted(owner, (first, end))
+        odd = (np.bincount((owner[a:b] - first) * width + bucket[a:b], minlength=(end - first) * width) & 1).astype(np.uint8)
+        packed[first:end] = np.packbits(odd.reshape(-1, width), axis=1).view(np.int64)
     return [pa.array(np.ascontiguousarray(packed[:, i])) for i in range(len(_PARITIES))]
 
 
@@ -134,8 +140,7 @@ def sets(rows: DataFrame, words: int, percent: int) -> DataFrame:
     return staged(rows.mapInArrow(build, fields), "jaccard-sets")
 
 
-def index(rows: DataFrame, words: int, percent: int) -> DataFrame:
-    """``node, own, next``: names of the buckets for both ranges, once for each set and task; sets that link with their equals only have none."""
+def _listing(words: int, percent: int):
     def build(batches):
         seen: set[int] = set()
         for batch in batches:
@@ -149,11 +154,10 @@ def index(rows: DataFrame, words: int, percent: int) -> DataFrame:
                 lists = [spans.lists(*_contents(gram, owner, n, percent, above), pa.int64()) for above in (0, 1)]
                 yield pa.RecordBatch.from_arrays([pa.array(node), *lists], ["node", "own", "next"]).filter(pa.array(new))
 
-    return rows.select("text").mapInArrow(build, "node long, own array<long>, next array<long>")
+    return build
 
 
-def _dealt(indexed: DataFrame, parts: int) -> DataFrame:
-    """Entries of the lists as blocks of numbers, dealt to ``parts`` by list: ``part, own, bucket, node``."""
+def _dealing(parts: int):
     def flush(held: dict[str, list]):
         for column, blocks in held.items():
             bucket, node = (np.concatenate(x) for x in zip(*blocks))
@@ -179,7 +183,26 @@ def _dealt(indexed: DataFrame, parts: int) -> DataFrame:
         if entries:
             yield from flush(held)
 
-    return indexed.mapInArrow(deal, "part int, own boolean, bucket array<long>, node array<long>")
+    return deal
+
+
+_DEALT = "part int, own boolean, bucket array<long>, node array<long>"
+
+
+def index(rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """``node, own, next``: names of the buckets for both ranges, once for each set and task; sets that link with their equals only have none."""
+    return rows.select("text").mapInArrow(_listing(words, percent), "node long, own array<long>, next array<long>")
+
+
+def _dealt(indexed: DataFrame, parts: int) -> DataFrame:
+    """Entries of the lists as blocks of numbers, dealt to ``parts`` by list: ``part, own, bucket, node``."""
+    return indexed.mapInArrow(_dealing(parts), _DEALT)
+
+
+def _dealt_index(rows: DataFrame, words: int, percent: int, parts: int) -> DataFrame:
+    """``_dealt`` of ``index`` by one worker a task: of two, both keep their memory for the steps that follow."""
+    lists, deal = _listing(words, percent), _dealing(parts)
+    return rows.select("text").mapInArrow(lambda batches: deal(lists(batches)), _DEALT)
 
 
 def _met(table: pa.Table) -> pa.Table:
@@ -261,7 +284,7 @@ def _links(rows: DataFrame, found: DataFrame, words: int, percent: int) -> DataF
     carried = ["n", *_PARITIES]
     nodes = staged(found.where("listed > 0").groupBy("node").agg(*[F.first(c).alias(c) for c in carried]), "jaccard-nodes")
     parts = max(tasks(rows), (found.agg(F.sum("listed")).first()[0] or 0) // MET)
-    shared = _dealt(index(rows, words, percent), parts).groupBy("part").applyInArrow(_met, "bucket long, node long, own boolean")
+    shared = _dealt_index(rows, words, percent, parts).groupBy("part").applyInArrow(_met, "bucket long, node long, own boolean")
     lists = staged(staged(shared, "jaccard-shared").join(nodes.select("node", "n"), "node").withColumn("root", F.col("node")), "jaccard-lists")
     texts = _texts(rows, staged(lists.select("node").distinct(), "jaccard-wanted"), words)
     one, two = (nodes.toDF(x, *[f"{c}_{x}" for c in carried]) for x in "ab")

@@ -6,9 +6,11 @@ import collections
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -399,6 +401,33 @@ def test_jaccard_lists_hold_a_set_once(spark):
     assert met.count() == 0
 
 
+def test_jaccard_lists_take_one_worker_a_task(spark, monkeypatch):
+    """Lists are made and dealt by the same Python worker, and are those of the two steps one after the other."""
+    plans, stage = {}, jaccard.staged
+    monkeypatch.setattr(jaccard, "staged", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()) and stage(df, name))
+    docs = table(spark, copies(1)).withColumnsRenamed({"doc_id": "id"}).coalesce(1)
+    jaccard.near_duplicates(docs, id_col="id").count()
+    assert plans["jaccard-shared"].count("MapInArrow") == 1
+    got, want = (sorted(df.collect()) for df in (jaccard._dealt_index(docs, 5, 80, 7), jaccard._dealt(jaccard.index(docs, 5, 80), 7)))
+    assert got == want and got
+
+
+def test_jaccard_workers_hold_little():
+    """Neither a batch of very short texts nor a large one of long texts needs more than a few small arrays."""
+    short, long = pa.array([f"a{i} b c d e f" for i in range(10_000)]), pa.array([" ".join(f"w{(i * k) % 997}" for k in range(2_000)) for i in range(400)])
+    most = []
+    for texts in (short, long):
+        tracemalloc.start()
+        for a, b, gram, cut in jaccard.shingle_sets(texts, 5):
+            owner = np.repeat(np.arange(b - a), np.diff(cut))
+            bits = np.stack([p.to_numpy() for p in jaccard._parities(gram, owner, b - a)], axis=1)
+            odd = np.unpackbits(bits.view(np.uint8).reshape(b - a, -1), axis=1).sum(axis=1)
+            assert (odd <= np.diff(cut)).all() and (odd % 2 == np.diff(cut) % 2).all()
+        most.append(tracemalloc.get_traced_memory()[1] >> 20)
+        tracemalloc.stop()
+    assert max(most) < 64, most
+
+
 def test_quality_uses_all_labels(spark):
     """Labels without documents change nothing, however many there are; the threshold is that of a plain search."""
     rows = [(i * 100, f"{'good fine' if i % 3 else 'bad junk'} " + " ".join(f"w{(i * k) % 97}" for k in range(60 + i % 7))) for i in range(200)]

@@ -1,4 +1,4 @@
-"""Connected components of a table of links, by alternating stars."""
+"""Connected components of a table of links, by hooking on the smallest neighbour and contraction."""
 
 from __future__ import annotations
 
@@ -8,28 +8,36 @@ from pyspark.sql import functions as F
 from langmill.llm.table import staged
 
 
+def follow(df: DataFrame, column: str, roots: DataFrame) -> DataFrame:
+    """``df`` with the values of ``column`` that are nodes of ``roots`` (``node``, ``root``) replaced by their roots."""
+    found = df.join(roots.toDF(column, "_root"), column, "left")
+    return found.withColumn(column, F.coalesce("_root", column)).select(df.columns)
+
+
 def components(links: DataFrame) -> DataFrame:
-    """Staged ``node, root`` for every node of ``links`` (``a``, ``b``): root is its component's smallest node.
+    """Staged ``node, root`` for every node of ``links`` (``a``, ``b``) but the roots: root is its component's smallest node.
 
-    Each round hangs the neighbours of a node on their smallest one, by aggregation and joins on unique
-    keys; it ends when nothing changes, after about log2 of the component's width rounds.
+    Each round hangs every node on its smallest neighbour if that is smaller, follows these pointers to their ends and goes
+    on with the links between different ends, far fewer than before; it ends when there are none. Sums by
+    node and joins on unique keys only, so neither a large component nor a node of many links meets in one task.
     """
-    edges = staged(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    state = _state(edges)
+    links = staged(links.where("a != b").select("a", "b"), "links")
+    roots = links.toDF("node", "root").limit(0)
+    while links.head(1):
+        both = links.union(links.select("b", "a"))
+        hung = both.groupBy("a").agg(F.min("b").alias("b")).where("b < a").toDF("node", "root")
+        ends = _ends(staged(hung, "hung"))
+        links = staged(follow(follow(links, "a", ends), "b", ends).where("a != b"), "links")
+        roots = staged(follow(roots, "root", ends).union(ends), "components")
+    return roots
+
+
+def _ends(pointers: DataFrame) -> DataFrame:
+    """``node, root`` with the end of every node's pointers: each write follows twice as far, and once more."""
     while True:
-        both = edges.union(edges.select("b", "a"))
-        smallest = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(smallest, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = staged(large, "links")
-        smallest = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(smallest, "a").where("b != m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
-        edges = staged(small.union(smallest).distinct(), "links")
-        after = _state(edges)
-        if after == state:
-            roots = edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-            return staged(edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots), "components")
-        state = after
-
-
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
+        one, two = pointers.toDF("root", "one"), pointers.toDF("one", "two")
+        further = pointers.join(one, "root", "left").join(two, "one", "left").select("node", F.coalesce("two", "one", "root").alias("root"), F.col("two").isNotNull().alias("open"))
+        further = staged(further, "ends")
+        pointers = further.select("node", "root")
+        if not further.where("open").head(1):
+            return pointers

@@ -11,20 +11,23 @@ with are. Lists go to the shuffle as blocks of numbers, once for each set and ta
 come back as rows. Candidates carry parities: one bit for each hash bucket of shingles, telling whether the bucket holds an odd
 number. Two sets differ in at least as many shingles as their parities differ in bits, so a pair whose
 parities differ too much needs no probe. Lists of large groups are not turned into pairs. In a few turns,
-every member of a list meets a few leaders of the turn and is compared with the likest one that it is still apart from; only
+every member of a list meets a few leaders of the turn and is compared with the likest one that it is still apart from; members
+and leaders carry coarse parities, so that only those that may be alike make a pair. What the links of a turn join is contracted; only
 members that are then still in different components are paired, in the first list that both are in. No step loses a link
 between components.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from langmill.llm import spans
-from langmill.llm.components import components
+from langmill.llm.components import components, follow
 from langmill.llm.table import pick, spread_small, staged, tasks
 from langmill.session import broadcast_if_small
 
@@ -34,6 +37,8 @@ SPARE, SPARE_SHARE = 3, 10
 MOST_TURNS, LEADERS = 3, 8
 #: Words of 64 parity bits that a set carries.
 _PARITIES = [f"parity{i}" for i in range(16)]
+#: Words of coarser parities, of several buckets each, that every entry of a list carries.
+_COARSE = [f"coarse{i}" for i in range(4)]
 #: Entries of lists that a task holds before it sends them, and entries that one group puts in order.
 HELD, MET = 1 << 20, 1 << 20
 #: Bytes of text and rows handled at once; a waiting worker keeps about the memory of its largest arrays.
@@ -225,14 +230,20 @@ def _compatible(a: str, b: str, percent: int):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _apart(a: str, b: str):
+def _coarse() -> list:
+    """Parities of buckets that several of ``_PARITIES`` make up together; what is said of the bits of those holds of these too."""
+    step = len(_COARSE)
+    return [functools.reduce(lambda x, y: x.bitwiseXOR(y), map(F.col, _PARITIES[i::step])).alias(c) for i, c in enumerate(_COARSE)]
+
+
+def _apart(a: str, b: str, bits: list[str] = _PARITIES):
     """Bits in which the parities of two sets differ."""
-    return sum((F.bit_count(F.col(f"{c}_{a}").bitwiseXOR(F.col(f"{c}_{b}"))) for c in _PARITIES), F.lit(0))
+    return sum((F.bit_count(F.col(f"{c}_{a}").bitwiseXOR(F.col(f"{c}_{b}"))) for c in bits), F.lit(0))
 
 
-def _alike(a: str, b: str, percent: int):
+def _alike(a: str, b: str, percent: int, bits: list[str] = _PARITIES):
     """False only for sets whose parities differ in more bits than linked sets of their sizes can."""
-    return (100 + percent) * _apart(a, b) <= (100 - percent) * (F.col(f"n_{a}") + F.col(f"n_{b}"))
+    return (100 + percent) * _apart(a, b, bits) <= (100 - percent) * (F.col(f"n_{a}") + F.col(f"n_{b}"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
@@ -269,32 +280,27 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
     """
     rows = spread_small(pick(docs, id=id_col, text=text_col))
     found = sets(rows, words, percent)
-    links = _links(rows, found, words, percent)
-    roots = components(links)
-    named = found.select("id", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = staged(named, "jaccard-roots")
+    roots = _roots(rows, found, words, percent)
+    named = staged(follow(found.select("id", "n", "node", F.col("node").alias("root")), "root", roots), "jaccard-roots")
     least = named.where("n > 0").groupBy("root").agg(F.min("id").alias("component_id"))
     out = named.where("n > 0").join(least, "root").select("id", "n", "node", "component_id")
     out = out.union(named.where("n = 0").select("id", "n", "node", F.col("id").alias("component_id")))
     return out.withColumnsRenamed({"id": id_col, "n": "n_shingles"})
 
 
-def _links(rows: DataFrame, found: DataFrame, words: int, percent: int) -> DataFrame:
+def _roots(rows: DataFrame, found: DataFrame, words: int, percent: int) -> DataFrame:
+    """Staged ``node, root`` of every set that is linked, but for the roots themselves."""
     linked = F.expr(f"100 * same >= {percent} * total")
     carried = ["n", *_PARITIES]
     nodes = staged(found.where("listed > 0").groupBy("node").agg(*[F.first(c).alias(c) for c in carried]), "jaccard-nodes")
     parts = max(tasks(rows), (found.agg(F.sum("listed")).first()[0] or 0) // MET)
     shared = _dealt_index(rows, words, percent, parts).groupBy("part").applyInArrow(_met, "bucket long, node long, own boolean")
-    lists = staged(staged(shared, "jaccard-shared").join(nodes.select("node", "n"), "node").withColumn("root", F.col("node")), "jaccard-lists")
+    lists = staged(staged(shared, "jaccard-shared").join(nodes.select("node", "n", *_coarse()), "node").withColumn("root", F.col("node")), "jaccard-lists")
     texts = _texts(rows, staged(lists.select("node").distinct(), "jaccard-wanted"), words)
     one, two = (nodes.toDF(x, *[f"{c}_{x}" for c in carried]) for x in "ab")
-    links = checked = None
+    roots = checked = None
     for turn in range(MOST_TURNS):
-        # every member meets the leaders of its lists, the same for all lists where it can be
-        slot, order = F.pmod(F.xxhash64(F.lit("slot"), "node", F.lit(turn)), F.lit(LEADERS)), F.struct(F.xxhash64("node", F.lit(turn)), "node", "n", "root", "own")
-        leaders = lists.groupBy("bucket", slot.alias("slot")).agg(F.min(order).alias("leader")).select("bucket", "leader.*").toDF("bucket", "order", "b", "n_b", "root_b", "own_b")
-        pairs = lists.join(leaders.drop("order"), "bucket").where("root != root_b and (own or own_b)").where(_compatible("n", "n_b", percent))
-        pairs = pairs.select(F.col("node").alias("a"), "b").distinct()
+        pairs = _led(lists, turn, percent)
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
         pairs = pairs.join(one, "a").join(two, "b").where(_alike("a", "b", percent)).select("a", "b", _apart("a", "b").alias("apart"))
@@ -303,22 +309,42 @@ def _links(rows: DataFrame, found: DataFrame, words: int, percent: int) -> DataF
         new = found.where(linked).select("a", "b")
         both = found.select("a", "b").union(found.select("b", "a"))
         checked = both if checked is None else checked.union(both)
-        links = new if links is None else links.union(new)
-        roots = components(links)
-        apart = lists.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        roots, merged = _merged(roots, new)
+        apart = follow(lists, "root", merged)
         mixed = apart.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("bucket")
         lists = staged(apart.join(mixed, "bucket"), "jaccard-apart")
-        if not new.head(1) or not lists.head(1):
+        if not merged.head(1) or not lists.head(1):
             break
     # members that no leader has joined: pairs of different components that their parities do not keep apart, in their first list
     inside = lists.groupBy("node", "own").agg(F.collect_list("bucket").alias("all"))
-    lists = staged(lists.join(inside, ["node", "own"]).join(nodes.select("node", *_PARITIES), "node"), "jaccard-left")
-    one, two = (lists.toDF(*[c if c == "bucket" else f"{c}_{x}" for c in lists.columns]) for x in "ab")
+    lists = staged(lists.drop(*_COARSE).join(inside, ["node", "own"]).join(nodes.select("node", *_PARITIES), "node"), "jaccard-left")
+    one, two = (_sided(lists, side) for side in "ab")
     first = F.array_min(F.array_intersect("all_a", "all_b")) == F.col("bucket")
     far = (one.join(two, "bucket").where("root_a < root_b and (own_a or own_b)").where(_compatible("n_a", "n_b", percent)).where(_alike("a", "b", percent)).where(first)
            .select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct())
     far = far.join(checked, ["a", "b"], "left_anti")
-    return links.union(_verified(far, texts, words).where(linked).select("a", "b"))
+    return _merged(roots, _verified(far, texts, words).where(linked).select("a", "b"))[0]
+
+
+def _led(lists: DataFrame, turn: int, percent: int) -> DataFrame:
+    """``a, b``: every member with the leaders of its lists, the same for all lists where it can be, unless coarse parities keep them apart."""
+    slot, order = F.pmod(F.xxhash64(F.lit("slot"), "node", F.lit(turn)), F.lit(LEADERS)), F.struct(F.xxhash64("node", F.lit(turn)), "node", "n", *_COARSE, "root", "own")
+    leaders = lists.groupBy("bucket", slot.alias("slot")).agg(F.min(order).alias("leader")).select("bucket", *[f"leader.{c}" for c in lists.columns if c != "bucket"])
+    pairs = _sided(lists, "a").join(_sided(leaders, "b"), "bucket").where("root_a != root_b and (own_a or own_b)").where(_compatible("n_a", "n_b", percent))
+    return pairs.where(_alike("a", "b", percent, _COARSE)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
+def _sided(lists: DataFrame, side: str) -> DataFrame:
+    return lists.toDF(*[c if c == "bucket" else f"{c}_{side}" for c in lists.columns])
+
+
+def _merged(roots: DataFrame | None, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``node, root`` once ``links`` are added to what ``roots`` joins, and the same for roots that they join to others."""
+    if roots is None:
+        merged = components(links)
+        return merged, merged
+    merged = components(follow(follow(links, "a", roots), "b", roots))
+    return staged(follow(roots, "root", merged).union(merged), "jaccard-merged"), merged
 
 
 def _texts(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:

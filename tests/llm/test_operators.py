@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from langmill.llm import edits, jaccard, mixing, neighbours, packing, pii, quality, recompress, suffixes, template, tokens
+from langmill.llm import components, edits, jaccard, mixing, neighbours, packing, pii, quality, recompress, suffixes, template, tokens
 from langmill.session import collect_staged
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -458,3 +458,48 @@ def test_a_search_writes_every_scored_node_once(spark):
     rows = [spark.read.parquet(p).count() for p in paths if "/neighbours-seen-" in p]
     once = spark.read.parquet(*[p for p in paths if "/neighbours-seen-" in p]).select("query_id", "node").distinct().count()
     assert len(rows) > 1 and sum(rows) == once and found.groupBy("query_id").count().where(f"count != {neighbours.BEAM}").count() == 0
+
+
+def test_jaccard_members_pair_with_leaders_that_may_be_alike_only(spark):
+    """Sets that share a list and little else make no pair with its leaders; near copies make one with each of the few at most."""
+    draw = random.Random(12)
+    fields = "bucket long, node long, own boolean, n long, " + ", ".join(f"{c} long" for c in jaccard._COARSE) + ", root long"
+    unlike = [(1, i, True, 100, *(draw.randrange(-(1 << 63), 1 << 63) for _ in jaccard._COARSE), i) for i in range(300)]
+    near = [(2, 1000 + i, True, 100, 1 << i % 3, 5, 6, 7, 1000 + i) for i in range(300)]
+    pairs = jaccard._led(spark.createDataFrame(unlike + near, fields), 0, 90).collect()
+    assert len({p.a for p in pairs}) == 300 and len(pairs) == jaccard.LEADERS * 299 and all(p.a >= 1000 and p.b >= 1000 for p in pairs)
+
+
+def test_jaccard_coarse_parities_differ_in_no_more_bits_than_sets(spark):
+    draw = np.random.default_rng(13)
+    for n, lost in ((5, 1), (100, 9), (900, 60)):
+        one = draw.integers(0, 1 << 63, n).astype(np.uint64)
+        two = np.concatenate((one[lost:], draw.integers(0, 1 << 63, lost).astype(np.uint64)))
+        bits = jaccard._parities(np.concatenate((one, two)), np.repeat([0, 1], [n, n]), 2)
+        a, b = (dict(zip(jaccard._PARITIES, (c[i].as_py() for c in bits))) for i in (0, 1))
+        one_row = spark.createDataFrame([a, b], ", ".join(f"{c} long" for c in jaccard._PARITIES)).select(*jaccard._coarse()).collect()
+        assert 0 < sum((x ^ y).bit_count() for x, y in zip(*([v % (1 << 64) for v in r] for r in one_row))) <= 2 * lost
+
+
+def test_components_write_little(spark, monkeypatch):
+    """Paths, stars and random links: every node but the smallest of its component gets that one, in a few narrow writes."""
+    draw = random.Random(14)
+    links = [(i, i + 1) for i in range(400)] + [(1000, 1000 + i) for i in range(300)] + [(draw.randrange(2000, 2300), draw.randrange(2000, 2300)) for _ in range(330)]
+    order = draw.sample(range(3000, 3500), 500)
+    links += [*zip(order, order[1:]), (5000, 5000)]
+    root = {}
+
+    def top(i):
+        while root.setdefault(i, i) != i:
+            i = root[i]
+        return i
+
+    for a, b in links:
+        x, y = top(a), top(b)
+        root[max(x, y)] = min(x, y)
+    written, stage = [], components.staged
+    monkeypatch.setattr(components, "staged", lambda df, name: written.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")) or stage(df, name))
+    got = components.components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert sorted(r for r in map(tuple, got) if r[0] != r[1]) == sorted((i, top(i)) for i in root if top(i) != i)
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert sum(written) < 20, written

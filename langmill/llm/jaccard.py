@@ -40,7 +40,7 @@ _PARITIES = [f"parity{i}" for i in range(16)]
 #: Words of coarser parities, of several buckets each, that every entry of a list carries.
 _COARSE = [f"coarse{i}" for i in range(4)]
 #: Entries of lists that a task holds before it sends them, and entries that one group puts in order.
-HELD, MET = 1 << 20, 1 << 20
+HELD, MET = 1 << 18, 1 << 20
 #: Bytes of text and rows handled at once; a waiting worker keeps about the memory of its largest arrays.
 BLOCK, ROWS = 1 << 19, 1 << 10
 
@@ -129,6 +129,12 @@ def _contents(gram: np.ndarray, owner: np.ndarray, n: np.ndarray, percent: int,
     return name[kept].astype(np.int64), spans.per_row(row[kept], len(n))
 
 
+def _freeing(batches):
+    """``batches``; at their end memory that Arrow keeps for later goes back, since workers wait beside the steps that follow."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+
+
 def sets(rows: DataFrame, words: int, percent: int) -> DataFrame:
     """Staged ``id, node, n, listed`` and parities of every row: name and size of its set, number of its buckets for both ranges."""
     def build(batches):
@@ -142,7 +148,7 @@ def sets(rows: DataFrame, words: int, percent: int) -> DataFrame:
 
     kind = rows.schema["id"].dataType.simpleString()
     fields = f"id {kind}, node long, n long, listed long, " + ", ".join(f"{c} long" for c in _PARITIES)
-    return staged(rows.mapInArrow(build, fields), "jaccard-sets")
+    return staged(rows.mapInArrow(lambda batches: _freeing(build(batches)), fields), "jaccard-sets")
 
 
 def _listing(words: int, percent: int):
@@ -207,7 +213,7 @@ def _dealt(indexed: DataFrame, parts: int) -> DataFrame:
 def _dealt_index(rows: DataFrame, words: int, percent: int, parts: int) -> DataFrame:
     """``_dealt`` of ``index`` by one worker a task: of two, both keep their memory for the steps that follow."""
     lists, deal = _listing(words, percent), _dealing(parts)
-    return rows.select("text").mapInArrow(lambda batches: deal(lists(batches)), _DEALT)
+    return rows.select("text").mapInArrow(lambda batches: _freeing(deal(lists(batches))), _DEALT)
 
 
 def _met(table: pa.Table) -> pa.Table:
@@ -267,7 +273,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("a").slice(x, y - x), batch.column("b").slice(x, y - x), pa.array(same), pa.array(total)], ["a", "b", "same", "total"])
 
-    return staged(both.mapInArrow(probe, "a long, b long, same long, total long"), "jaccard-verified")
+    return staged(both.mapInArrow(lambda batches: _freeing(probe(batches)), "a long, b long, same long, total long"), "jaccard-verified")
 
 
 def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -354,5 +360,5 @@ def _texts(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             for a, b, gram, cut in shingle_sets(batch.column("text"), words):
                 yield pa.RecordBatch.from_arrays([pa.array(_names(gram, cut)), batch.column("text").slice(a, b - a)], ["node", "text"])
 
-    named = rows.select("text").mapInArrow(name, "node long, text string").join(broadcast_if_small(wanted)[0], "node", "left_semi")
+    named = rows.select("text").mapInArrow(lambda batches: _freeing(name(batches)), "node long, text string").join(broadcast_if_small(wanted)[0], "node", "left_semi")
     return staged(named.groupBy("node").agg(F.first("text").alias("text")), "jaccard-texts")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import json
 import random
 import re
 import tracemalloc
@@ -299,6 +300,37 @@ def test_pages(spark):
     assert got[3] == "T3 One & 3 two" and got[7] == got[8] == "" and got[9] == "no article" and len(got) == 9
 
 
+def test_template_of_a_host_is_nested(spark):
+    """Classes stand in the gaps of others, a token has a role for each gap, and the order of a class must hold on all pages."""
+    def page(i):
+        items = "".join(f"<li><i>by</i><a>n{i}-{k}</a></li>" for k in range(2 + i % 3))
+        tail = "<em>p</em><u>q</u>" if i % 2 else "<u>q</u><em>p</em>"
+        return (f"<html><body><div class='top'><ul>{items}</ul></div><div class='low'><ul><li><i>by</i><a>m{i}</a></li></ul></div>"
+                f"<section class='text'><h2>T{i}</h2><div class='note'>Subscribe now</div><p>body {i}</p>{tail}</section></body></html>")
+
+    pages = table(spark, [("h", page(i)) for i in range(9)] + [("h", page(0))] * 5 + [("k", page(i)) for i in (0, 0, 0)], "host string, html string")
+    got = {r.host: r for r in template.deduce(pages).collect()}
+    assert got["k"].classes is None  # copies of one page are no template
+    classes = json.loads(got["h"].classes)
+    root = [c for c in classes if c["gap"] == 0]
+    gaps = {template._gap(root[0]["class"], k): k for k in range(1, len(root[0]["keys"]))}
+    inner = [c for c in classes if c["gap"] in gaps]
+    tag = lambda *path: template._key("<" + "".join(f"/{x}" for x in path))
+    top = ["html", "body", "div.top", "ul"]
+    assert len(root) == 1 and root[0]["keys"][:4] == [tag(*top[: k + 1]) for k in range(4)]
+    assert [c["keys"][:2] for c in inner] == [[tag(*top, "li"), tag(*top, "li", "i")]] and gaps[inner[0]["gap"]] == 4
+    assert tag("html", "body", "section.text", "em") not in {k for c in classes for k in c["keys"]}  # its order changes
+
+
+def test_text_of_the_template_is_left_out_of_articles(spark):
+    page = "<html><body><article><h1>T{0}</h1><div class='note'>Subscribe now</div><p>a {0}</p><p>All rights</p><p>b {1}</p></article></body></html>"
+    rows = [(i, "http://h/a", page.format(i, "x" * (i % 4))) for i in range(6)]
+    rows += [(i, "http://k/a", "<html><body><article><h1>same</h1></article></body></html>") for i in range(6, 10)]
+    got = {r.page_id: r.text for r in template.main_text(table(spark, rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "T3 a 3 All rights b xxx" and got[4] == "T4 a 4 All rights b"
+    assert got[7] == "same"
+
+
 @pytest.mark.parametrize("schema", ["doc_id long, text string, source string, _row int, id string, n long"])
 def test_empty_and_clashing_columns(spark, schema):
     for rows in ([], [(1, "a b c", "s", 5, "x", 3)]):
